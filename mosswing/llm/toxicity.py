@@ -120,10 +120,11 @@ def vote_matrix(texts: list[str], documents: list[set[str]], mined: list[str]) -
     return votes, names
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 25, known: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 25, known: float = 1.0, annotator: float = 0.97) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, P(vote | toxic), P(vote | clean)) by EM, with votes that go together counted less.
 
-    start: a first guess of the posteriors; its mean stays the share of toxic rows. Correlation of two voters beyond what the label explains lowers the weight
+    start: the annotators' labels, a voter of the given accuracy that never abstains; their mean stays the share of
+    toxic rows. Correlation of two voters beyond what the label explains lowers the weight
     of both: a voter's evidence is divided by one plus its residual correlations.
     """
     n, m = votes.shape
@@ -143,7 +144,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 25, known: fl
             r = np.clip(cov / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(r, 0)
             share = 1 / (1 + np.where(r > 0.1, r, 0).sum(1))
-        z = np.log(prior / (1 - prior)) + v @ (share * np.log(a / b))  # a voter that doesn't vote abstains
+        z = np.log(prior / (1 - prior)) + (2 * start - 1) * np.log(annotator / (1 - annotator)) + v @ (share * np.log(a / b))  # a voter that doesn't vote abstains
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - q).max() < 1e-5:
             q = new
