@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op5_adaptive_scan
+from .decontaminate import op3_qgram_lemma
 from .licenses import op4_diagonal_voting
+from .near_dedup import op6_order_minhash
 from .packing import op2_best_fit_packing
 from .quality import op9_additive_model
 from .sharding import op10_histogram_sort
@@ -10,7 +13,10 @@ from .toxicity import op8_weak_supervision
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_qgram_lemma": op3_qgram_lemma,
     "op4_diagonal_voting": op4_diagonal_voting,
+    "op5_adaptive_scan": op5_adaptive_scan,
+    "op6_order_minhash": op6_order_minhash,
     "op8_weak_supervision": op8_weak_supervision,
     "op9_additive_model": op9_additive_model,
     "op10_histogram_sort": op10_histogram_sort,
