@@ -34,24 +34,34 @@ _TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES}"
 _FIRST = "|".join(n for names in (MALE, FEMALE) for group in names.values() for n in group)
 _NAME = r"\p{Lu}\p{Ll}+"
 
-#: In this order where two could begin at one place.
+_KEYWORD = r"(?i:token|secret|password|passwd|api[_-]?key) ?"
+_VALUE = r"[=:] ?[\"']?"
+
+#: In this order where two could begin at one place. Each fails on its first character nearly everywhere.
 KINDS = {
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key) ?[=:] ?[\"']?)[A-Za-z0-9_+/-]{12,}",
-    "key": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})",
+    "secret": rf"[=:](?<={_KEYWORD}[=:]) ?[\"']?[A-Za-z0-9_+/-]{{12,}}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?!\p{N})",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?<=\+\d{1,3}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d{3}-\d{3}-\d{4})(?!\p{N})",
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4})|\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?!\p{N})",
+    "key": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})(?!\p{{L}})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+
+
+def _any_of(*kinds: str) -> str:
+    return "(?:" + "|".join(KINDS[k] for k in kinds) + ")"
+
+
+PATTERN = "|".join([
+    KINDS["secret"], KINDS["email"], r"(?=[0-9+(])" + _any_of("ip", "ssn", "card", "phone"), r"(?=[Ags])" + _any_of("key"), r"(?=\p{Lu})" + _any_of("iban", "person")])
 
 
 def _kind(raw: Column) -> Column:
     out = F.lit("secret")
-    for kind in ("key", "email", "iban", "ip", "ssn", "card", "phone", "person")[::-1]:
+    for kind in [k for k in KINDS if k != "secret"][::-1]:
         out = F.when(raw.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
     return out
 
@@ -78,6 +88,7 @@ def _canonical(kind: Column, raw: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "email", F.lower(raw))
         .when(kind == "person", F.lower(F.element_at(F.split(raw, " "), -1)))
+        .when(kind == "secret", F.regexp_replace(raw, f"^{_VALUE}", ""))
         .otherwise(raw)
     )
 
@@ -164,6 +175,7 @@ def _written(key: str) -> Column:
     person = F.concat(title, F.when(first == "", "").otherwise(F.concat(given, F.lit(" "))), new)
     return (
         F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "iban", iban).when(kind == "person", person)
+        .when(kind == "secret", F.concat(F.regexp_extract(raw, f"^{_VALUE}", 0), new))
         .when((kind == "email") & (F.upper(raw) == raw), F.upper(new)).otherwise(new)
     )
 
