@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op5_adaptive_scan
 from .decontaminate import op3_qgram_lemma
 from .licenses import op4_diagonal_voting
+from .lm_score import op1_stupid_backoff
 from .near_dedup import op6_order_minhash
 from .packing import op2_best_fit_packing
 from .pii import op7_surrogates
@@ -13,6 +14,7 @@ from .sharding import op10_histogram_sort
 from .toxicity import op8_weak_supervision
 
 QUERIES = {
+    "op1_stupid_backoff": op1_stupid_backoff,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_qgram_lemma": op3_qgram_lemma,
     "op4_diagonal_voting": op4_diagonal_voting,
