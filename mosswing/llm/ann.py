@@ -54,27 +54,29 @@ def nearest_lists(x: np.ndarray, c: np.ndarray, many: int) -> np.ndarray:
 
 
 def scan(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, blocks: list[slice], slack: float) -> np.ndarray:
-    """Places in x of candidates that may be among q's k nearest. The first block's nearest set the bound.
+    """Places in x of candidates that may be among q's k nearest.
 
-    After t of d rotated dimensions, sqrt(d / t) times the partial distance estimates the whole; a candidate is given
-    up when that exceeds the bound by the factor 1 + slack / sqrt(t), and the bound follows the k nearest so far.
+    Before each block the 2k candidates nearest so far are measured whole; the k-th of them bounds the search. After t of d rotated dimensions, sqrt(d / t) times the partial distance estimates the whole; a candidate is given
+    up when that exceeds the bound by the factor 1 + slack / sqrt(t).
     """
     d = x.shape[1]
     alive = np.flatnonzero(own)
     part = ((x[alive, blocks[0]] - q[blocks[0]]) ** 2).sum(1)
     if len(alive) <= 2 * k:
         return alive
-    seeds = alive[np.argpartition(part, 2 * k - 1)[: 2 * k]]
-    whole = np.partition(((x[seeds] - q) ** 2).sum(1), k - 1)[k - 1]
-    done = blocks[0].stop
+    bound, seeds, done = np.inf, alive, blocks[0].stop
     for block in [*blocks[1:], None]:
-        keep = part * (d / done) <= whole * (1 + slack / np.sqrt(done)) ** 2 + 1e-12
+        seeds = alive[np.argpartition(part, 2 * k - 1)[: 2 * k]] if len(alive) > 2 * k else alive
+        if len(seeds) >= k:
+            bound = min(bound, np.partition(((x[seeds] - q) ** 2).sum(1), k - 1)[k - 1])
+        keep = part * (d / done) <= bound * (1 + slack / np.sqrt(done)) ** 2 + 1e-12
+        keep |= np.isin(alive, seeds)
         alive, part = alive[keep], part[keep]
         if block is None:
             break
         part = part + ((x[alive, block] - q[block]) ** 2).sum(1)
         done = block.stop
-    return alive if len(alive) >= k else np.union1d(alive, seeds)
+    return alive
 
 
 def search(

@@ -166,7 +166,8 @@ class Index:
                 out.append((edits, i, int(places[start]), int(places[end - 1]) + 1))
         best = []
         for edits, i, start, end in sorted(out):  # neighbouring bands find a place twice
-            if not any(i == j and start < y and x < end for _, j, x, y in best):
+            half = len(self.points[i]) / 2
+            if not any(i == j and min(end, y) - max(start, x) > half for _, j, x, y in best):
                 best.append((edits, i, start, end))
         return [(self.ids[i], start, end, edits) for edits, i, start, end in best]
 

@@ -22,9 +22,9 @@ from .common import cut, slices, stored, table, text_of
 
 WORDS = re.compile(r"[^\W_]+")
 K = 5
-SKETCHES = 24
+SKETCHES = 32
 SIMILAR = 0.8
-AGREE = 2
+AGREE = 1
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=SKETCHES, dtype=np.uint64)[:, None] | np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)

@@ -207,7 +207,7 @@ def replace_entities(docs: DataFrame, key: str = "public-demo-key") -> DataFrame
     null, empty ones empty, with 0 entities; repeated rows stay. Columns n_entities and kinds of the input are
     replaced, other ones kept. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_entities", "kinds", "_id", "_raw")]
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds", "_id", "_raw", "_new", "_kinds")]
     docs = docs.select(*names)
     pattern = F.lit(PATTERN)
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
@@ -221,10 +221,10 @@ def replace_entities(docs: DataFrame, key: str = "public-demo-key") -> DataFrame
     # an entity may be in a third of all rows: its occurrences meet one of several copies of its surrogate
     salted = each.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     written = salted.join(mapped, ["kind", "canon", "salt"]).select("_id", "i", "kind", _written(key).alias("new"))
-    per_doc = written.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    per_doc = written.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("_new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("_kinds"))
     between = F.split("text", PATTERN, -1)
-    woven = F.array_join(F.zip_with(between, F.transform("new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    replaced = found.join(per_doc, "_id").withColumns({"text": woven, "n_entities": F.size("_raw")})
+    woven = F.array_join(F.zip_with(between, F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    replaced = found.join(per_doc, "_id").withColumns({"text": woven, "n_entities": F.size("_raw"), "kinds": F.col("_kinds")})
     if "n_chars" in names:
         replaced = replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     rest = docs.where(~has).select(*names, F.lit(0).alias("n_entities"), F.lit("").alias("kinds"))

@@ -98,7 +98,7 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0
     The keys (ids, hashes, sizes) are stored once; no pass but the first reads texts until the one exchange, which
     moves rows by cell: a range of keys with about cell_rows rows, a hot key being split by the id's hash.
     """
-    keep = [c for c in docs.columns if c not in ("shard", "slot", "size", "_k1", "_k2", "_size")]
+    keep = [c for c in docs.columns if c not in ("shard", "slot", "size", "_k1", "_k2", "_size", "_c1", "_c2", "_split", "_before")]
     rows = _key_columns(docs.select(*keep))
     keys = cut(rows.select("_k1", "_k2", "_size"))
     cuts, _ = _splitters(keys, shards, tolerance)
@@ -112,15 +112,15 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0
 
     counts = celled(keys).groupBy("shard", "_c1").agg(F.count("*").alias("rows"))
     hot = counts.where(F.col("rows") > 4 * cell_rows).select(
-        "shard", "_c1", F.least(F.lit(20), F.ceil(F.log2(F.col("rows") / cell_rows))).cast("int").alias("split"))
+        "shard", "_c1", F.least(F.lit(20), F.ceil(F.log2(F.col("rows") / cell_rows))).cast("int").alias("_split"))
     n_hot = hot.count()  # a hot cell has over 4 * cell_rows rows, so there are few
 
     def split(df: DataFrame) -> DataFrame:
         if not n_hot:
             return df.withColumn("_c2", F.lit(0).cast("long"))
         joined = df.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["shard", "_c1"], "left")
-        low = F.expr(f"shiftrightunsigned(_k2, {BITS} - split)")
-        return joined.withColumn("_c2", F.when(F.col("split").isNull(), F.lit(0).cast("long")).otherwise(low)).drop("split")
+        low = F.expr(f"shiftrightunsigned(_k2, {BITS} - _split)")
+        return joined.withColumn("_c2", F.when(F.col("_split").isNull(), F.lit(0).cast("long")).otherwise(low)).drop("_split")
 
     cells = split(celled(keys)).groupBy("shard", "_c1", "_c2").agg(F.count("*").alias("_rows"))
     order = Window.partitionBy("shard").orderBy("_c1", "_c2").rowsBetween(Window.unboundedPreceding, -1)
