@@ -62,7 +62,7 @@ def test_classes_against_all_pairs(spark, docs, clashing, nothing):
                 if got[a] != got[b]:
                     lost.append(len(grams[a] & grams[b]) / len(grams[a] | grams[b]))
     # links at the very edge may share no sketch; none of those with a shingle similarity of a half is lost
-    assert links > 1000 and len(lost) < 0.01 * links and all(j < 0.5 for j in lost), lost
+    assert links > 500 and len(lost) < 0.01 * links and all(j < 0.5 for j in lost), lost
     assert all(top(a) == top(got[a]) for a in ids)
     kept = [r["doc_id"] for r in out if r["kept"] and r["doc_id"] is not None]
     assert sorted(kept) == sorted(set(got.values()))
