@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, slices, table, text_of
+from .common import cut, fold, labelled_sample, slices, stored, table, text_of
 
 SAMPLE = 12_000
+CANDIDATES = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -75,19 +76,21 @@ def parts_of(words: set[str]) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
 
 
-def mine_voters(documents: list[set[str]], y: np.ndarray, most: int = 120, precision: float = 0.9, chance: float = 0.01) -> list[str]:
+def least_rows(candidates: int, share: float, chance: float = 0.01) -> float:
+    """How many marked rows a candidate needs, so that with probability 1 - chance none of them all gets there by luck."""
+    return max(3.0, float(np.log(max(1, candidates) / chance) / -np.log(share)))
+
+
+def mine_voters(documents: list[set[str]], y: np.ndarray, most: int = 120, precision: float = 0.9, least: float = 3) -> list[str]:
     """Words and word beginnings that labelled rows nearly always mark, each covering marked rows the others miss.
 
-    One is taken only if so many marked rows would have it by chance alone, among all candidates, with a probability
-    under `chance`.
+    One is taken only if at least `least` marked rows have it (see least_rows).
     """
     all_, marked = Counter(), Counter()
     for parts, label in zip(documents, y):
         all_.update(parts)
         if label:
             marked.update(parts)
-    base = (y.sum() + 1) / (len(y) + 2)
-    least = max(3, np.log(max(1, len(all_)) / chance) / -np.log(base))
     good = {p for p, n in marked.items() if n >= least and n / all_[p] >= precision}
     rows: dict[str, set[int]] = {p: set() for p in good}
     for i, (parts, label) in enumerate(zip(documents, y)):
@@ -181,17 +184,39 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, held: int
             marks = [[k for k, p in PATTERNS.items() if p.search(t)] for t in texts]
             yield pd.DataFrame({"words": [" ".join(sorted(words_of(t))) for t in texts], "marks": marks, "label": pdf["label"]})
 
-    rows = sample.mapInPandas(words, "words string, marks array<string>, label int").toPandas().sort_values(["words", "label"], kind="stable")
-    y = rows["label"].to_numpy(dtype=float)
-    texts = rows["words"].tolist()
-    documents = [set(t.split()) for t in texts]
-    documents = [parts_of(d) for d in documents]
-    mined = mine_voters(documents, y) if len(y) else []
-    votes, names = vote_matrix(texts, documents, mined)
-    for k, pattern in enumerate(PATTERNS):
-        votes[:, len(LEXICONS) + k] = [pattern in m for m in rows["marks"]]
-    if not len(y):
+    rows = stored(sample.mapInPandas(words, "words string, marks array<string>, label int"), "toxicity")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 500):
+                all_, marked = Counter(), Counter()
+                for text, label in zip(pdf["words"][at : at + 500], pdf["label"][at : at + 500]):
+                    parts = parts_of(set(text.split()))
+                    all_.update(parts)
+                    if label:
+                        marked.update(parts)
+                yield pd.DataFrame({"part": list(all_), "n": list(all_.values()), "marked": [marked[p] for p in all_]})
+
+    counts = cut(rows.mapInPandas(count, "part string, n long, marked long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("marked").alias("marked")))
+    total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("marked")).first()
+    if not total["n"]:
         return Model({}, -3.0)
+    least = least_rows(counts.count(), (total["marked"] + 1) / (total["n"] + 2))
+    good = counts.where((F.col("marked") >= least) & (F.col("marked") >= 0.9 * F.col("n"))).orderBy(F.desc("marked"), "part").limit(CANDIDATES)
+    known = {r["part"] for r in good.select("part").collect()} | GROUPS.keys()  # at most CANDIDATES and the lexicons
+
+    def restrict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"parts": [sorted(parts_of(set(t.split())) & known) for t in pdf["words"]], "marks": pdf["marks"], "label": pdf["label"]})
+
+    table_ = rows.mapInPandas(restrict, "parts array<string>, marks array<string>, label int").toPandas()
+    table_ = table_.assign(k=[" ".join(p) for p in table_["parts"]]).sort_values(["k", "label"], kind="stable")
+    y = table_["label"].to_numpy(dtype=float)
+    documents = [set(p) for p in table_["parts"]]
+    mined = mine_voters(documents, y, least=least)
+    votes, names = vote_matrix([""] * len(y), documents, mined)
+    for k, pattern in enumerate(PATTERNS):
+        votes[:, len(LEXICONS) + k] = [pattern in m for m in table_["marks"]]
     posterior, a, b = label_model(votes, y)
     weights, bias = linear(documents, posterior, sorted({*mined, *GROUPS}))
     return Model(weights, bias, {n: (float(x), float(z)) for n, x, z in zip(names, a, b)})
