@@ -116,7 +116,7 @@ def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, in
     return plan
 
 
-def pack(parts: DataFrame, limit: int = 1024, block_rows: int = 200_000) -> DataFrame:
+def pack(parts: DataFrame, limit: int = 1024, block_rows: int = 20_000) -> DataFrame:
     """parts (with a column length, 1..limit) with sequence_id and offset; other columns are kept.
 
     The driver sees one count a length. Ranks are taken within (length, block), where a block is a part of the rows
