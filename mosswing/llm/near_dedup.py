@@ -1,7 +1,8 @@
 """Near-duplicates by order MinHash: each sketch keeps a few minimal occurrence-labelled word k-mers in text order.
 
 Sketches that agree make candidates; a banded alignment of the words verifies them; classes are the connected
-components of the verified links.
+components of the verified links. Neighbours in a bucket of equal sketches give first classes; then all pairs of a
+bucket that are still in different classes are verified.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ K = 5
 SKETCHES = 32
 SIMILAR = 0.8
 AGREE = 1
+PIVOTS = 4
+BUCKET_ROWS = 2000
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=SKETCHES, dtype=np.uint64)[:, None] | np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -80,19 +83,20 @@ def sketch(words: list[str], k: int = K) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the words in order; of the text where there are none), s (the sketches; null without words)."""
+    """doc_id, key (of the words in order; of the text where there are none), s (the sketches; null without words), n (words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(frames):
-            keys, sketches = [], []
+            keys, sketches, n = [], [], []
             for text in pdf["text"]:
                 words = word_list(text)
                 same = "w" + " ".join(words) if words else "t" + text
                 keys.append(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
                 sketches.append(sketch(words).view(np.int64) if words else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": keys, "s": sketches})
+                n.append(len(words))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": keys, "s": sketches, "n": n})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, key string, s array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, key string, s array<long>, n int")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -139,9 +143,8 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", same.alias("agree")).where(F.col("agree") >= AGREE)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """a, b, edits of the pairs whose words align with a similarity of at least `similar`."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _encoded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, w (32 bits of each word) of the documents in wanted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id")
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,8 +152,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
             words = [np.fromiter(map(_hashes.__getitem__, word_list(t)), dtype=np.uint64).astype(np.uint32).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "w": words})
 
-    words = texts.mapInPandas(encode, "doc_id long, w binary").groupBy("doc_id").agg(F.min("w").alias("w"))
-    words = cut(words)
+    return cut(texts.mapInPandas(encode, "doc_id long, w binary").groupBy("doc_id").agg(F.min("w").alias("w")))
+
+
+def _verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
+    """a, b, edits of the pairs whose words align with a similarity of at least `similar`."""
     joined = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
     n = F.greatest(F.length("wa"), F.length("wb"))
     joined = joined.where(F.least(F.length("wa"), F.length("wb")) >= similar * n)
@@ -159,8 +165,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
         for pdf in frames:
             out = []
             for a, b, wa, wb in zip(pdf["a"], pdf["b"], pdf["wa"], pdf["wb"]):
-                x, y = np.frombuffer(wa, dtype=np.uint32).tolist(), np.frombuffer(wb, dtype=np.uint32).tolist()
-                edits = band_distance(x, y, int((1 - similar) * max(len(x), len(y)) + 1e-9))
+                x, y = np.frombuffer(wa, dtype=np.uint32), np.frombuffer(wb, dtype=np.uint32)
+                most = int((1 - similar) * max(len(x), len(y)) + 1e-9)
+                surplus = np.bincount(x & 1023, minlength=1024) - np.bincount(y & 1023, minlength=1024)
+                if max(surplus.clip(0).sum(), (-surplus).clip(0).sum()) > most:  # each edit takes one word from either at most
+                    continue
+                edits = band_distance(x.tolist(), y.tolist(), most)
                 if edits is not None:
                     out.append((a, b, edits))
             yield pd.DataFrame(out, columns=["a", "b", "edits"])
@@ -168,6 +178,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", "wa", "wb").mapInPandas(align, "a long, b long, edits int")
 
 
+def _contested(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, rep, n, size (of the bucket), nth (in it, from 0) of the rows in buckets that hold several classes.
+
+    Rows that meet most others come first: an original before its copies.
+    """
+    classed = reps.join(roots, reps.rep == roots.node, "left").select("rep", "s", "n", F.coalesce("root", "rep").alias("class"))
+    rows = classed.select(F.explode(F.transform("s", lambda h, j: F.xxhash64(h, j))).alias("bucket"), "rep", "n", "class")
+    every = Window.partitionBy("bucket")
+    rows = rows.withColumns({"size": F.count("*").over(every), "mixed": F.min("class").over(every) != F.max("class").over(every)})
+    rows = cut(rows.where("mixed").select("bucket", "rep", "n", "size"))
+    met = rows.groupBy("rep").agg(F.sum("size").alias("met"))
+    central = F.row_number().over(every.orderBy(F.desc("met"), "rep")) - 1
+    return cut(rows.join(met, "rep").select("bucket", "rep", "n", "size", central.alias("nth")))
+
+
+def _exact(reps: DataFrame, links: DataFrame, words: DataFrame, similar: float) -> DataFrame:
+    """node, root of the components once no pair that shares a bucket and is in two classes is unverified.
+
+    In each round a bucket's next rows, four times as many as before, meet all rows after them that are in other
+    classes by then: rows that a round links need no more pairs, and after the last round every pair of a bucket has
+    been met. Large buckets are split over tasks.
+    """
+    roots = components(links)
+    rows = _contested(reps, roots)
+    last = rows.agg(F.max("nth")).first()[0] or 0
+    begin, width = 0, PIVOTS
+    while begin < last:
+        classed = rows.where(F.col("nth") >= begin).join(roots, rows.rep == roots.node, "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
+        classed = classed.withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
+        left = classed.where(F.col("nth") < begin + width).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = classed.withColumn("part", F.col("nth") % F.col("parts"))
+        met = left.alias("x").join(right.alias("y"), ["bucket", "part"]).where("x.nth < y.nth and x.class <> y.class")
+        met = met.where(F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n"))
+        found = cut(_verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), words, similar).select("a", "b"))
+        begin, width = begin + width, width * 4
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
+    return roots
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component), by spreading least labels and halving paths; links: a, b."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -193,20 +244,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     where the class has no other row.
     """
     slim = stored(_sketched(docs), "sketches")
-    reps = cut(slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("s").alias("s"), F.count("*").alias("copies")))
+    reps = cut(slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("s").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies")))
     usable = reps.where(F.col("rep").isNotNull() & F.col("s").isNotNull())
     pairs = cut(_agreeing(_candidates(usable), usable))
+    words = _encoded(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     strongest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
     best = pairs.withColumn("n", strongest).where("n = 1").select("a", "b")
-    links = cut(_verified(best, docs, similar).select("a", "b"))
-    roots = components(links)
-    # what the strongest links left apart is verified too; pairs already in one class need no more links
-    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    for side in "ab":
-        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    apart = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = links.union(_verified(cut(apart), docs, similar).select("a", "b"))
-    roots = components(cut(links))
+    links = cut(_verified(best, words, similar).select("a", "b"))
+    roots = _exact(usable, links, words, similar)
     classes = reps.join(roots, reps.rep == roots.node, "left").select("key", "copies", F.coalesce("root", "rep").alias("class_id"))
     out = slim.select("doc_id", "key").join(classes, "key")
     once = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))

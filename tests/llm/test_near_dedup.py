@@ -3,7 +3,7 @@ import random
 from llm_data import edited, prose
 
 from mosswing.llm.alignment import band_distance, whole_distance
-from mosswing.llm.near_dedup import components, near_duplicates, word_list
+from mosswing.llm.near_dedup import components, near_duplicates, sketch, word_list
 
 
 def brute(a, b):
@@ -75,3 +75,20 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 105), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 105: 100}
+
+
+def test_star_of_a_large_bucket(spark):
+    """Copies near the original and far from each other: the original stands anywhere in its buckets."""
+    base, n = prose(77, 100).split(), 1000
+    r, rows = random.Random(5), [(n // 2, " ".join(base))]
+    for i in [i for i in range(n) if i != n // 2]:
+        words = list(base)
+        for at in r.sample(range(15, 100), 14):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    texts = {i: word_list(t) for i, t in rows}
+    sketches = {i: sketch(w) for i, w in texts.items()}
+    meet = [i for i in texts if i != n // 2 and (sketches[i] == sketches[n // 2]).any()]
+    assert len(meet) > 0.8 * n
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in meet} == {got[n // 2]}
