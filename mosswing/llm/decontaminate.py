@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, text_of
 
-Q = 12
-BUDGET = 0.05
+Q = 8
+BUDGET = 0.1
 BLOCK_CHARS = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
@@ -36,6 +36,10 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], np.flatnonzero(keep)
 
 
+def _chars(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit hash of every q consecutive code points."""
     n = len(points) - q + 1
@@ -105,14 +109,17 @@ class Index:
     map: np.ndarray
     budgets: np.ndarray
     least: np.ndarray
+    short: list[tuple[object, str]]
 
     @classmethod
     def build(cls, rows: list[tuple[object, str]], q: int, budget: float) -> Index:
-        ids, points, h, it, pl, budgets, least = [], [], [], [], [], [], []
+        ids, points, h, it, pl, budgets, least, short = [], [], [], [], [], [], [], []
         for item, text in rows:
             p = normal(text)[0]
             p = p[(np.cumsum(p != 32) > 0) & (np.cumsum((p != 32)[::-1])[::-1] > 0)]  # without the outer spaces
             if len(p) < q:
+                if len(p):
+                    short.append((item, f" {_chars(p)} "))
                 continue
             grams = gram_hashes(p, q)
             e = int(budget * len(p))
@@ -129,11 +136,26 @@ class Index:
         bits = np.zeros(1 << _BITS, dtype=bool)
         bits[hashes >> np.uint64(64 - _BITS)] = True
         cat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int32)
-        return cls(ids, points, hashes[order], cat(it), cat(pl), bits, np.array(budgets, dtype=np.int64), np.array(least, dtype=np.int64))
+        return cls(ids, points, hashes[order], cat(it), cat(pl), bits, np.array(budgets, dtype=np.int64), np.array(least, dtype=np.int64), short)
 
     def regions(self, text: str, q: int) -> list[tuple[object, int, int, int]]:
         """(item, first character, character after the last, edits) of each verified region, the best of those that overlap."""
         points, places = normal(text)
+        return self._exact(points, places) + self._similar(points, places, q)
+
+    def _exact(self, points: np.ndarray, places: np.ndarray) -> list[tuple[object, int, int, int]]:
+        """Items under q characters, as whole words."""
+        if not self.short:
+            return []
+        out, within = [], f" {_chars(points)} "
+        for item, wanted in self.short:
+            at = within.find(wanted)
+            while at >= 0:
+                out.append((item, int(places[at]), int(places[at + len(wanted) - 3]) + 1, 0))
+                at = within.find(wanted, at + 1)
+        return out
+
+    def _similar(self, points: np.ndarray, places: np.ndarray, q: int) -> list[tuple[object, int, int, int]]:
         grams = gram_hashes(points, q)
         at = np.flatnonzero(self.map[grams >> np.uint64(64 - _BITS)])
         if not len(at):
@@ -189,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float
     """doc_id, item_id, start, end, edits: every place of a document that holds a benchmark item within its edit budget.
 
     The budget is `budget` of an item's characters (fewer for short items, so that the q-gram lemma still holds);
-    items under q characters are not searched. Items are sent to the tasks in blocks of bounded size, one pass over the
+    items under q characters are searched exactly, as whole words. Items are sent to the tasks in blocks of bounded size, one pass over the
     documents a block. Null and empty texts hold nothing; repeated rows are reported each; an empty table of either
     kind gives an empty result.
     """

@@ -54,3 +54,14 @@ def test_planted(spark, docs, clashing, nothing):
     assert without_leaks(df, bench).count() == df.count() - 5
     assert find_leaks(clashing.withColumnRenamed("item_id", "edits"), bench).count() == 0
     assert find_leaks(nothing, bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_replaced_words_cut_ends_and_short_items(spark):
+    words = prose(94, 24).split()
+    other = [*words[:6], "zzzzzz", *words[7:]]
+    item = " ".join(words)
+    bench = spark.createDataFrame([(1, item), (2, "Tiny it")], "item_id long, text string")
+    rows = [(1, prose(8, 50) + " " + " ".join(other) + " " + prose(9, 50)), (2, prose(10, 50) + " " + item[: int(len(item) * 0.92)]), (3, "a tiny, IT is"), (4, "tiny item"), (5, item[: len(item) // 2])]
+    out = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(1, 1), (2, 1), (3, 2)}
+    assert [rows[2][1][r["start"] : r["end"]] for r in out if r["doc_id"] == 3] == ["tiny, IT"]
