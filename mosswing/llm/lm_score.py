@@ -8,6 +8,7 @@ answers to its documents' n-grams. Counts cover all documents, less those of the
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, text_of
 
 WORDS = re.compile(r"[^\W_]+")
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 BLOCK_CHARS = 12_000_000
 
@@ -62,6 +63,15 @@ def _by_gram(g: np.ndarray, doc: np.ndarray) -> Sorted:
     return order, new, new.cumsum() - 1, np.repeat(lengths, lengths)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit integers by place of the byte, deflated: the high bytes of small ones take next to nothing."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: doc_id, n_words, log_score (sum of natural logs), mean_log and backed_off (share of words).
 
@@ -90,13 +100,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
             for b in range(buckets):
                 a, z = ends[b], ends[b + 1]
                 if z > a:
-                    out.append((b, int(pdf["block"].iloc[0]), k, g[a:z].tobytes(), counts[a:z].astype(np.int64).tobytes()))
+                    out.append((b, int(pdf["block"].iloc[0]), k, _packed(np.diff(g[a:z], prepend=np.uint64(0)).view(np.int64)), _packed(counts[a:z])))
         return pd.DataFrame(out, columns=["bucket", "block", "k", "grams", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(x, dtype=np.uint64) for x in pdf["grams"]]
+        grams = [_unpacked(x).view(np.uint64).cumsum(dtype=np.uint64) for x in pdf["grams"]]
         g = np.concatenate(grams)
-        c = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]])
+        c = np.concatenate([_unpacked(x) for x in pdf["counts"]])
         at = np.argsort(g, kind="stable")
         new = np.ones(len(g), dtype=bool)
         new[1:] = g[at][1:] != g[at][:-1]
@@ -104,7 +114,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
         total = np.empty(len(g), dtype=np.int64)
         total[at] = sums[new.cumsum() - 1]
         parts = np.split(total, np.cumsum([len(x) for x in grams])[:-1])
-        return pd.DataFrame({"block": pdf["block"], "k": pdf["k"], "bucket": pdf["bucket"], "totals": [p.tobytes() for p in parts]})
+        return pd.DataFrame({"block": pdf["block"], "k": pdf["k"], "bucket": pdf["bucket"], "totals": [_packed(p) for p in parts]})
 
     def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         doc, place, grams = _grams(pdf["text"], order)
@@ -113,7 +123,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
         for k, (g, valid) in enumerate(grams):
             where = np.flatnonzero(valid)
             at, _, index, own = _by_gram(g[where], doc[where])
-            total = np.frombuffer(b"".join(answers["totals"][answers["k"] == k]), dtype=np.int64)
+            total = np.concatenate([np.zeros(0, dtype=np.int64), *map(_unpacked, answers["totals"][answers["k"] == k])])
             count = np.zeros(len(g), dtype=np.int64)
             count[where[at]] = total[index] - own
             rest.append(count)

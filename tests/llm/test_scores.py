@@ -7,7 +7,7 @@ import pytest
 from llm_data import prose
 
 from mosswing.llm import quality, toxicity
-from mosswing.llm.lm_score import lm_scores
+from mosswing.llm.lm_score import lm_scores, op1_stupid_backoff
 
 WORD = __import__("re").compile(r"[^\W_]+")
 
@@ -46,6 +46,16 @@ def test_backoff_against_counters(spark, docs, order):
         assert (r["mean_log"] is None) == (n == 0) and (n == 0 or 0 <= r["backed_off"] <= 1)
 
 
+def test_registered_order_tells_word_salad(spark, tmp_path):
+    """Texts of natural word pairs, but senseless longer sequences, score less than those of the corpus."""
+    rows = [(i, "red fox sees blue whale sees red fox sees blue whale") for i in range(4)] + [(i, "sees red whale and blue whale sees red whale") for i in range(4, 8)]
+    rows += [(100, "fox sees blue whale sees"), (101, "fox sees red whale sees")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["log_score"] for r in op1_stupid_backoff(spark, str(tmp_path)).collect()}
+    want = list(brute_scores([t for _, t in rows], 3, 0.4))
+    assert all(abs(got[i] - w) < 1e-6 for (i, _), (_, w) in zip(rows, want)) and got[100] > got[101]
+
+
 def test_backoff_odd_tables(docs, clashing, nothing):
     assert lm_scores(clashing).count() == docs.count() and lm_scores(nothing).count() == 0
 
