@@ -81,6 +81,11 @@ def _gender(raw: Column) -> Column:
     )
 
 
+def _given(raw: Column) -> Column:
+    """A person's first name; empty if only the last one is written."""
+    return F.regexp_extract(F.regexp_replace(raw, rf"^(?:{_TITLES})\.? ", ""), r"^(\p{L}+) ", 1)
+
+
 def _canonical(kind: Column, raw: Column) -> Column:
     """What all spellings of one entity share: digits of a number, the lower case of an address, a person's last name."""
     return (
@@ -134,7 +139,7 @@ def _luhn_ended(digits: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """Of a row with kind, canon, script, attempt and country (how many digits of a number stay)."""
+    """Of a row with kind, canon, script, gender, attempt and country (how many digits of a number stay)."""
     kind, canon = F.col("kind"), F.col("canon")
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.col("attempt").cast("string")), 512)
     domain = F.element_at(F.split(canon, "@"), -1)
@@ -150,29 +155,29 @@ def _surrogate(key: str) -> Column:
     for script, syllables in SYLLABLES.items():
         built = F.initcap(F.concat(*[_pick(digest, F.lit(i), syllables) for i in range(4)]))
         name = F.when(F.col("script") == script, built).otherwise(name)
+    given = F.lit(None).cast("string")
+    for script, syllables in SYLLABLES.items():
+        for gender, names in (("m", MALE[script]), ("f", FEMALE[script]), ("u", MALE[script] + FEMALE[script])):
+            longer = F.when(F.col("attempt") > 0, F.concat(*[_pick(digest, F.lit(i), syllables) for i in (1, 2, 3)])).otherwise("")
+            given = F.when((F.col("script") == script) & (F.col("gender") == gender), F.concat(_pick(digest, F.lit(0), names), longer)).otherwise(given)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip)
         .when(kind == "card", F.when(is_luhn, _luhn_ended(number)).otherwise(number))
-        .when(kind == "person", name)
+        .when(kind == "person", name).when(kind.startswith("given "), given)
         .otherwise(number)
     )
 
 
 def _written(key: str) -> Column:
-    """The surrogate in the format of this occurrence (columns kind, raw, canon, script, surrogate)."""
+    """The surrogate in the format of this occurrence (columns kind, raw, canon, script, surrogate, given_new)."""
     kind, raw, new = F.col("kind"), F.col("raw"), F.col("surrogate")
     place = lambda i: F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), "[^0-9]", ""))
     number = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, place(i), F.lit(1))).otherwise(c)), "")
     compact = lambda i: F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), " ", ""))
     iban = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, compact(i), F.lit(1)))), "")
     title = F.regexp_extract(raw, rf"^((?:{_TITLES})\.? )", 1)
-    first = F.regexp_extract(F.substr(raw, F.length(title) + 1), r"^(\p{L}+) ", 1)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("first"), F.lower(first)), 512)
-    given = F.lit(None).cast("string")
-    for script in SYLLABLES:
-        for gender, names in (("m", MALE[script]), ("f", FEMALE[script]), ("u", MALE[script] + FEMALE[script])):
-            given = F.when((F.col("script") == script) & (F.col("gender") == gender), _pick(digest, F.lit(0), names)).otherwise(given)
-    person = F.concat(title, F.when(first == "", "").otherwise(F.concat(given, F.lit(" "))), new)
+    first = _given(raw)
+    person = F.concat(title, F.when(first == "", "").otherwise(F.concat(F.col("given_new"), F.lit(" "))), new)
     return (
         F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "iban", iban).when(kind == "person", person)
         .when(kind == "secret", F.concat(F.regexp_extract(raw, f"^{_VALUE}", 0), new))
@@ -186,16 +191,19 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     entities has one row per kind and canon. Whoever's surrogate another has already, or is itself an entity, tries the
     next keyed digest; the least canon keeps a shared one.
     """
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit("u"))
     todo = cut(entities.withColumn("attempt", F.lit(0)))
     while True:
         tried = todo.withColumn("surrogate", _surrogate(key))
-        own = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+        tried = tried.withColumn("same", F.when((F.col("kind") == "person") | F.col("kind").startswith("given "), F.lower("surrogate")).otherwise(F.col("surrogate")))
+        own = entities.select("kind", F.col("canon").alias("same"), F.lit(True).alias("real"))
         nth = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
-        judged = tried.join(own, ["kind", "surrogate"], "left").withColumn("bad", (nth > 1) | F.col("real").isNotNull())
+        judged = tried.join(own, ["kind", "same"], "left").withColumn("bad", (nth > 1) | F.col("real").isNotNull())
         judged = cut(judged.select(*entities.columns, "attempt", "surrogate", "bad"))
         # an entity whose space of surrogates is used up would try for ever; a suffix of its digest ends that
         if judged.where(F.col("bad") & (F.col("attempt") < 40)).isEmpty():
-            digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256)
+            digest = F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("canon")), 256)
             return judged.select("kind", "canon", F.when(F.col("bad"), F.concat("surrogate", F.substr(digest, F.lit(1), F.lit(12)))).otherwise(F.col("surrogate")).alias("surrogate"))
         todo = judged.select(*entities.columns, (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
 
@@ -214,13 +222,21 @@ def replace_entities(docs: DataFrame, key: str = "public-demo-key") -> DataFrame
     found = stored(docs.where(has).withColumns({"_raw": F.regexp_extract_all("text", pattern, 0), "_id": F.monotonically_increasing_id()}), "entities")
     each = found.select("_id", F.posexplode("_raw").alias("i", "raw")).withColumn("kind", _kind(F.col("raw")))
     each = each.withColumns({"canon": _canonical(F.col("kind"), F.col("raw")), "script": _script(F.col("raw")), "gender": _gender(F.col("raw"))})
+    given = F.lower(_given(F.col("raw")))
+    each = each.withColumn("given", F.when((F.col("kind") == "person") & (given != ""), given))
     each = cut(each)
     country = F.when(F.col("kind") == "phone", F.length(F.regexp_extract("raw", r"^\+(\d{1,3})[ .(-]", 1))).when(F.col("kind") == "card", 1).when(F.col("kind") == "iban", 2).otherwise(0)
-    entities = each.groupBy("kind", "canon").agg(F.min("script").alias("script"), F.min(country).alias("country"))
-    mapped = surrogates(cut(entities), key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    entities = each.groupBy("kind", "canon").agg(F.min("script").alias("script"), F.min(country).alias("country"), F.lit("u").alias("gender"))
+    # first names are told apart within a last name
+    named = each.where("given is not null").select(F.concat(F.lit("given "), "canon").alias("kind"), F.col("given").alias("canon"), "script", "gender")
+    named = named.groupBy("kind", "canon").agg(F.min("script").alias("script"), F.lit(0).alias("country"), F.min("gender").alias("gender"))
+    all_mapped = cut(surrogates(cut(entities.unionByName(named)), key))
+    of_given = all_mapped.where(F.col("kind").startswith("given ")).select(F.expr("substr(kind, 7)").alias("canon"), F.col("canon").alias("given"), F.col("surrogate").alias("given_new"))
+    mapped = all_mapped.where(~F.col("kind").startswith("given ")).join(of_given.groupBy("canon").agg(F.map_from_entries(F.collect_list(F.struct("given", "given_new"))).alias("givens")).withColumn("kind", F.lit("person")), ["kind", "canon"], "left")
+    mapped = mapped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # an entity may be in a third of all rows: its occurrences meet one of several copies of its surrogate
     salted = each.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    written = salted.join(mapped, ["kind", "canon", "salt"]).select("_id", "i", "kind", _written(key).alias("new"))
+    written = salted.join(mapped, ["kind", "canon", "salt"]).withColumn("given_new", F.col("givens")[F.col("given")]).select("_id", "i", "kind", _written(key).alias("new"))
     per_doc = written.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("_new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("_kinds"))
     between = F.split("text", PATTERN, -1)
     woven = F.array_join(F.zip_with(between, F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -55,3 +55,12 @@ def test_crowded_space_stays_distinct(spark):
     got = surrogates(df, "k").collect()
     new = [r["surrogate"] for r in got]
     assert len(got) == len(rows) and len(set(new)) == len(new) and not set(new) & {c for _, c in rows}
+
+
+def test_namesakes_stay_distinct(spark):
+    """More first names with one last name than the pool of one gender holds."""
+    first = [a + b for a in ("Al", "Bo", "Ced", "Dor") for b in ("an", "en", "in", "on", "us", "as")]
+    df = spark.createDataFrame([(i, f"Mr. {n} Smith") for i, n in enumerate(first)] + [(99, f"Mr. {first[0]} Smith, Mr. Smith")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in replace_entities(df).collect()}
+    assert len({out[i] for i in range(len(first))}) == len(first) and len({t.split(",")[0].split()[-1] for t in out.values()}) == 1
+    assert out[99].split(",")[0] == out[0] and "Smith" not in out[99]
