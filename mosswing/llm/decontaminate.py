@@ -10,11 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import table
 
 Q = 8
 BUDGET = 0.1
@@ -25,15 +24,19 @@ _BITS = 22
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _FOLD[65:91] += 32
+_GROWS = "\u0130"  # the one character whose lower case has two
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased text, runs of ASCII signs and white space as one space; and each one's place."""
+    """Code points of the lower-cased text, runs of ASCII signs and white space as one space; and each one's place in text."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     points = np.where(points < 128, _FOLD[np.minimum(points, 127)], points)
     keep = np.ones(len(points), dtype=bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    return points[keep], np.flatnonzero(keep)
+    places = np.flatnonzero(keep)
+    if _GROWS in text:
+        places = np.repeat(np.arange(len(text)), [1 + (c == _GROWS) for c in text])[places]
+    return points[keep], places
 
 
 def _chars(points: np.ndarray) -> str:
@@ -65,36 +68,42 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
         return total * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def bounded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The least edits that turn a into some substring of b, if at most `most`, in a band about the main diagonals.
+def best_place(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the substring b[start:end] that the fewest edits make of a, if they are at most `most`.
 
-    Free ends in b; the band is as wide as b's surplus and the budget allow.
+    Two bit-parallel passes over the region: forwards with a free start for the end, then backwards from it for the start.
     """
-    n, m = len(a), len(b)
-    low, high = -most, m - n + most
-    width = high - low + 1
-    if width <= 0:
+    edits, end = _scan(a.tolist(), b.tolist(), True)
+    if edits > most:
         return None
-    inf = most + 1
-    diag = np.arange(low, high + 1)
-    row = np.where((diag >= 0) & (diag <= m), 0, inf)
-    padded = np.full(n + width + m + 2 * most + 4, 0xFFFFFFFF, dtype=np.uint32)
-    shift = most + 2
-    padded[shift : shift + m] = b
-    steps = np.arange(width)
-    for i in range(n):
-        j = i + diag
-        match = padded[i + low + shift : i + high + 1 + shift] == a[i]
-        best = row + ~match
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        best[(j < 0) | (j + 1 > m)] = inf
-        if i + 1 + low <= 0 <= i + 1 + high:
-            best[-(i + 1) - low] = i + 1
-        best = np.minimum.accumulate(best - steps) + steps
-        row = np.minimum(best, inf)
-        if row.min() > most:
-            return None
-    return int(row.min())
+    back = b[:end][::-1].tolist()
+    return edits, end - _scan(a[::-1].tolist(), back, False)[1], end
+
+
+def _scan(a: list[int], b: list[int], free: bool) -> tuple[int, int]:
+    """The least edits between a and a prefix of b (with a free start: a substring), and where it ends first."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    n = len(a)
+    every, top, first = (1 << n) - 1, 1 << (n - 1), 0 if free else 1
+    vp, vn, score = every, 0, n
+    best, end = n, 0
+    for j, y in enumerate(b):
+        x = at.get(y, 0)
+        d0 = (((x & vp) + vp) ^ vp) | x | vn
+        hp = vn | ~(d0 | vp)
+        hn = d0 & vp
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+            if score < best:
+                best, end = score, j + 1
+        hp = hp << 1 | first
+        vp = (hn << 1 | ~(d0 | hp)) & every
+        vn = d0 & hp & every
+    return best, end
 
 
 @dataclass
@@ -109,6 +118,7 @@ class Index:
     map: np.ndarray
     budgets: np.ndarray
     least: np.ndarray
+    offsets: np.ndarray
     short: list[tuple[object, str]]
 
     @classmethod
@@ -136,7 +146,7 @@ class Index:
         bits = np.zeros(1 << _BITS, dtype=bool)
         bits[hashes >> np.uint64(64 - _BITS)] = True
         cat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int32)
-        return cls(ids, points, hashes[order], cat(it), cat(pl), bits, np.array(budgets, dtype=np.int64), np.array(least, dtype=np.int64), short)
+        return cls(ids, points, hashes[order], cat(it), cat(pl), bits, np.array(budgets, dtype=np.int64), np.array(least, dtype=np.int64), np.cumsum([0, *map(len, points)], dtype=np.int64), short)
 
     def regions(self, text: str, q: int) -> list[tuple[object, int, int, int]]:
         """(item, first character, character after the last, edits) of each verified region, the best of those that overlap."""
@@ -167,82 +177,109 @@ class Index:
             return []
         spots = np.repeat(at, many)
         entry = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
-        item, place = self.items[entry].astype(np.int64), self.places[entry].astype(np.int64)
+        item = self.items[entry]
+        enough = np.bincount(item, minlength=len(self.ids)) >= self.least  # no band of an item has more than all of them
+        some = enough[item]
+        item, spots, place = item[some].astype(np.int64), spots[some], self.places[entry[some]].astype(np.int64)
+        if not len(item):
+            return []
         # bands of 2w diagonals that start at every multiple of w > budget: any budget's worth of drift is inside one
         w = self.budgets[item] + 1
         band = (spots - place) // w
-        found = []
+        low = int(band.min()) - 1
+        span = int(band.max()) - low + 1
+        found = set()
         for shift in (0, 1):
-            key = np.stack([item, band - shift, place], axis=1)
-            _, one = np.unique(key, axis=0, return_index=True)  # a place of the item counts once
-            bands, votes = np.unique(key[one, :2], axis=0, return_counts=True)
-            good = votes >= self.least[bands[:, 0]]
-            found += [(int(i), int(b)) for i, b in bands[good]]
+            key = (self.offsets[item] + place) * span + (band - shift - low)
+            one = np.unique(key)  # a place of the item counts once
+            of = np.searchsorted(self.offsets, one // span, side="right") - 1
+            bands, votes = np.unique(of * span + one % span, return_counts=True)
+            good = bands[votes >= self.least[bands // span]]
+            found |= set(zip((good // span).tolist(), (good % span + low).tolist()))
         out = []
-        for i, b in sorted(set(found)):
+        for i, b in sorted(found):
             p, e = self.points[i], int(self.budgets[i])
             start = max(0, b * (e + 1) - e)
             end = min(len(points), (b + 2) * (e + 1) + len(p) + e)
-            edits = bounded_distance(p, points[start:end], e)
-            if edits is not None:
-                out.append((edits, i, int(places[start]), int(places[end - 1]) + 1))
-        best = []
+            hit = best_place(p, points[start:end], e)
+            if hit:
+                out.append((hit[0], i, int(places[start + hit[1]]), int(places[start + hit[2] - 1]) + 1))
+        best: dict[int, list[tuple[int, int]]] = {}
+        kept = []
         for edits, i, start, end in sorted(out):  # neighbouring bands find a place twice
-            half = len(self.points[i]) / 2
-            if not any(i == j and min(end, y) - max(start, x) > half for _, j, x, y in best):
-                best.append((edits, i, start, end))
-        return [(self.ids[i], start, end, edits) for edits, i, start, end in best]
+            taken = best.setdefault(i, [])
+            if not any(2 * (min(end, y) - max(start, x)) > min(end - start, y - x) for x, y in taken):
+                taken.append((start, end))
+                kept.append((self.ids[i], start, end, edits))
+        return kept
 
 
-def _blocks(benchmark: DataFrame) -> list[list[int]]:
-    """Ids of benchmark items in blocks of bounded characters: each block's index is small enough to send to every task."""
-    sizes = benchmark.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("b")).agg(F.sum(F.char_length("text")).alias("n")).collect()
-    out, room = [[]], BLOCK_CHARS
-    for row in sorted(sizes, key=lambda r: r["b"]):
-        if row["n"] > room and out[-1]:
-            out.append([])
-            room = BLOCK_CHARS
-        out[-1].append(row["b"])
-        room -= row["n"]
-    return [b for b in out if b]
+def _indexes(benchmark: DataFrame, q: int, budget: float) -> Iterator[Index]:
+    """Distinct benchmark items in hash classes of about half BLOCK_CHARS: each index is small enough for every task."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    chars = items.agg(F.sum(F.char_length("text") + 8)).first()[0] or 0
+    classes = max(1, -(-2 * chars // BLOCK_CHARS))
+    for c in range(classes if chars else 0):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(classes)) == c).collect()
+        yield Index.build(sorted((r["item_id"], r["text"]) for r in rows), q, budget)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET) -> DataFrame:
     """doc_id, item_id, start, end, edits: every place of a document that holds a benchmark item within its edit budget.
 
-    The budget is `budget` of an item's characters (fewer for short items, so that the q-gram lemma still holds);
-    items under q characters are searched exactly, as whole words. Items are sent to the tasks in blocks of bounded size, one pass over the
-    documents a block. Null and empty texts hold nothing; repeated rows are reported each; an empty table of either
-    kind gives an empty result.
+    start and end are characters of the original text, of the alignment itself. The budget is `budget` of an item's
+    characters (fewer for short items, so that the q-gram lemma still holds); items under q characters are searched
+    exactly, as whole words. Items are sent to the tasks in blocks of bounded size, one pass over the documents a
+    block. Null and empty texts hold nothing; repeated rows and null ids are reported each, repeated items once; an
+    empty table of either kind gives an empty result. Other columns of the input are ignored.
     """
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id long, item_id {id_type}, start long, end long, edits int"
     spark = docs.sparkSession
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(sent):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
             index = sent.value
-            for pdf in slices(frames):
-                out = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["text"]) for r in index.regions(t, q)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
+            for batch in batches:
+                out = [(row, *hit) for row, text in enumerate(batch.column("text")) for hit in index.regions(text.as_py(), q)]
+                if out:
+                    rows, items, starts, ends, edits = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(rows)), pa.array(items), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(edits, pa.int32())],
+                        names=["doc_id", "item_id", "start", "end", "edits"])
 
         return run
 
     found = None
-    for block in _blocks(items):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(64)).isin(block)).orderBy("item_id").collect()
-        sent = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows], q, budget))
-        part = texts.mapInPandas(search(sent), schema)
+    for index in _indexes(benchmark, q, budget):
+        part = texts.mapInArrow(search(spark.sparkContext.broadcast(index)), schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; null ids cannot be told apart, so they are judged together."""
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_leak")
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text holds no benchmark item.
+
+    Each row is judged by itself in the scan, so null and repeated ids matter nothing; null and empty texts stay.
+    """
+    spark = docs.sparkSession
+
+    def clean(sent):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            index = sent.value
+            for batch in batches:
+                yield batch.filter(pa.array([not index.regions(x.as_py() or "", q) for x in batch.column("text")], pa.bool_()))
+
+        return run
+
+    for index in _indexes(benchmark, q, budget):
+        docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(index)), docs.schema)
+    return docs
 
 
 def op3_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
