@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mosswing.llm import decontaminate, near_dedup, packing, pii, quality
 from mosswing.llm.common import shared_dir, table
@@ -24,14 +23,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; a document whose id repeats with another text is judged by both."""
-    found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each class of near duplicates; rows that repeat whole are copies, null ids nothing special."""
+    return near_dedup.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, each row judged by its own text; null and empty texts stay."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .alignment import band_distance
-from .common import cut, slices, stored, table, text_of
+from .common import cut, stored, table, text_of
 
 WORDS = re.compile(r"[^\W_]+")
 K = 5
@@ -27,7 +27,8 @@ SKETCHES = 32
 SIMILAR = 0.8
 AGREE = 1
 PIVOTS = 4
-BUCKET_ROWS = 2000
+BLOCK_ROWS = 2000
+BINS = 128
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=SKETCHES, dtype=np.uint64)[:, None] | np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -83,20 +84,29 @@ def sketch(words: list[str], k: int = K) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the words in order; of the text where there are none), s (the sketches; null without words), n (words)."""
+    """row (unique), doc_id, v (hash of the text), key (of the words in order; of the text where there are none),
+    s (the sketches; null without words), n (words), w (32 bits of each word).
+    """
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("v"), text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(frames):
-            keys, sketches, n = [], [], []
-            for text in pdf["text"]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, sketches, n, w = [], [], [], []
+            for text in batch.column("text"):
+                text = text.as_py()
                 words = word_list(text)
                 same = "w" + " ".join(words) if words else "t" + text
-                keys.append(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+                keys.append(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 sketches.append(sketch(words).view(np.int64) if words else None)
                 n.append(len(words))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": keys, "s": sketches, "n": n})
+                w.append(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), batch.column("v"), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(w, pa.binary())],
+                names=["row", "doc_id", "v", "key", "s", "n", "w"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, key string, s array<long>, n int")
+    return columns.mapInArrow(run, "row long, doc_id long, v long, key binary, s array<long>, n int, w binary")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -143,21 +153,14 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", same.alias("agree")).where(F.col("agree") >= AGREE)
 
 
-def _encoded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, w (32 bits of each word) of the documents in wanted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id")
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(frames):
-            words = [np.fromiter(map(_hashes.__getitem__, word_list(t)), dtype=np.uint64).astype(np.uint32).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "w": words})
-
-    return cut(texts.mapInPandas(encode, "doc_id long, w binary").groupBy("doc_id").agg(F.min("w").alias("w")))
+def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, a checkpointed table of one or two numbers a row, broadcast if it is counted and small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """a, b, edits of the pairs whose words align with a similarity of at least `similar`."""
-    joined = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    joined = pairs.join(words.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
     n = F.greatest(F.length("wa"), F.length("wb"))
     joined = joined.where(F.least(F.length("wa"), F.length("wb")) >= similar * n)
 
@@ -178,45 +181,134 @@ def _verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", "wa", "wb").mapInPandas(align, "a long, b long, edits int")
 
 
-def _contested(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, rep, n, size (of the bucket), nth (in it, from 0) of the rows in buckets that hold several classes.
+def _histograms(words: DataFrame) -> DataFrame:
+    """rep, h: how many words fall in each of BINS classes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            h = [np.minimum(np.bincount(np.frombuffer(w, dtype=np.uint32) % BINS, minlength=BINS), 30_000).astype(np.int16).tobytes() for w in pdf["w"]]
+            yield pd.DataFrame({"rep": pdf["rep"], "h": h})
+
+    return words.mapInPandas(run, "rep long, h binary")
+
+
+def _contested(reps: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """bucket, cell, home, rep, n: rows of buckets that hold several classes, by the logarithm of their length.
 
-    Rows that meet most others come first: an original before its copies.
+    Two texts alike are in the same or neighbouring cells; a row visits the next cell, where it meets those at home.
     """
     classed = reps.join(roots, reps.rep == roots.node, "left").select("rep", "s", "n", F.coalesce("root", "rep").alias("class"))
-    rows = classed.select(F.explode(F.transform("s", lambda h, j: F.xxhash64(h, j))).alias("bucket"), "rep", "n", "class")
-    every = Window.partitionBy("bucket")
-    rows = rows.withColumns({"size": F.count("*").over(every), "mixed": F.min("class").over(every) != F.max("class").over(every)})
-    rows = cut(rows.where("mixed").select("bucket", "rep", "n", "size"))
-    met = rows.groupBy("rep").agg(F.sum("size").alias("met"))
-    central = F.row_number().over(every.orderBy(F.desc("met"), "rep")) - 1
-    return cut(rows.join(met, "rep").select("bucket", "rep", "n", "size", central.alias("nth")))
+    rows = cut(classed.select(F.explode(F.transform("s", lambda h, j: F.xxhash64(h, j))).alias("bucket"), "rep", "n", "class"))
+    several = lambda by: rows.groupBy(*by).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*by)
+    rows = rows.join(several(["bucket"]), "bucket")
+    cell = F.floor(F.log(F.col("n")) / -np.log(similar) + 1e-9)
+    both = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("home")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("home"))))
+    return cut(rows.withColumn("c", both).select("bucket", "c.cell", "c.home", "rep", "n"))
+
+
+def _runs(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of frames sorted by the columns `by`."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf])
+        if not len(pdf):
+            continue
+        x = pdf[by].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(1)])
+        for a, z in zip(starts[:-1], starts[1:]):
+            yield pdf.iloc[a:z]
+        rest = pdf.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _unlike(pdf: pd.DataFrame, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, least edits) of the pairs of a block in different classes that lengths and word counts do not rule out."""
+    n, cls, home, side = (pdf[c].to_numpy() for c in ("n", "class", "home", "part"))
+    h = np.frombuffer(b"".join(pdf["h"]), dtype=np.int16).reshape(len(pdf), BINS)
+    diagonal = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+    ends = np.searchsorted(n, np.floor(n / similar + 1e-9), side="right")  # sorted by n
+    out = []
+    for i in range(len(n) - 1):
+        j = slice(i + 1, ends[i])
+        ok = (cls[j] != cls[i]) & (home[j] | home[i])
+        if not diagonal:
+            ok &= side[j] != side[i]
+        js = np.flatnonzero(ok) + i + 1
+        if not len(js):
+            continue
+        more = np.maximum(h[js] - h[i], 0).sum(1)
+        least = np.maximum(more, more - (n[js] - n[i]))
+        good = least <= (1 - similar) * n[js] + 1e-9
+        if good.any():
+            out.append((np.full(good.sum(), i), js[good], least[good]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+
+
+def _meeting(rows: DataFrame, roots: DataFrame, shapes: DataFrame, similar: float, width: int) -> DataFrame:
+    """a, b of the pairs in a common bucket and different classes that may be alike; a row (-1, -1) where some are left out.
+
+    Of one pair of classes a block gives its `width` likeliest pairs. A block is a pair of parts of a cell, so that a
+    hot bucket is spread over tasks whose rows are bounded.
+    """
+    classed = rows.join(roots, rows.rep == roots.node, "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
+    sizes = classed.groupBy("bucket", "cell").agg(F.count("*").alias("size"), F.count_if("home").alias("homes"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sizes = sizes.where("low <> high and homes > 0").select("bucket", "cell", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts"))
+    placed = classed.join(sizes, ["bucket", "cell"]).join(shapes, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    by = ["bucket", "cell", "p", "q"]
+    spread = spread.select("bucket", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "rep", "class", "home", "part", "h")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(frames, by):
+            i, j, least = _unlike(pdf, similar)
+            if not len(i):
+                continue
+            rep, cls = pdf["rep"].to_numpy(), pdf["class"].to_numpy()
+            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+            if len(i) > width:
+                x, y = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                order = np.lexsort((b, a, least, y, x))
+                x, y, a, b = x[order], y[order], a[order], b[order]
+                new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                nth = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+                if (nth >= width).any():
+                    a, b = np.r_[a[nth < width], -1], np.r_[b[nth < width], -1]
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return spread.repartition(*by).sortWithinPartitions(*by, "n", "rep").mapInPandas(meet, "a long, b long").distinct()
 
 
 def _exact(reps: DataFrame, links: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """node, root of the components once no pair that shares a bucket and is in two classes is unverified.
 
-    In each round a bucket's next rows, four times as many as before, meet all rows after them that are in other
-    classes by then: rows that a round links need no more pairs, and after the last round every pair of a bucket has
-    been met. Large buckets are split over tasks.
+    Each round verifies the likeliest pairs of every two classes that meet, then merges classes; the last one leaves
+    none out.
     """
     roots = components(links)
-    rows = _contested(reps, roots)
-    last = rows.agg(F.max("nth")).first()[0] or 0
-    begin, width = 0, PIVOTS
-    while begin < last:
-        classed = rows.where(F.col("nth") >= begin).join(roots, rows.rep == roots.node, "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
-        classed = classed.withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
-        left = classed.where(F.col("nth") < begin + width).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = classed.withColumn("part", F.col("nth") % F.col("parts"))
-        met = left.alias("x").join(right.alias("y"), ["bucket", "part"]).where("x.nth < y.nth and x.class <> y.class")
-        met = met.where(F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n"))
-        found = cut(_verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), words, similar).select("a", "b"))
-        begin, width = begin + width, width * 4
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
-    return roots
+    rows = _contested(reps, roots, similar)
+    shapes = cut(_histograms(words.join(_few(cut(rows.select("rep").distinct())), "rep")))
+    width = PIVOTS
+    while True:
+        found = cut(_meeting(rows, roots, shapes, similar, width))
+        linked = cut(_verified(found.where("a >= 0"), words, similar).select("a", "b"))
+        if not linked.isEmpty():
+            roots = _merged(roots, linked)
+        if found.where("a < 0").isEmpty():
+            return roots
+        width *= 8
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with the classes that further links join; nodes that had no link yet come in."""
+    for x in ("a", "b"):
+        of = roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
+        links = links.join(of, x, "left").withColumn(f"{x}r", F.coalesce(f"{x}r", x))
+    links = cut(links)
+    tops = components(links.select(F.col("ar").alias("a"), F.col("br").alias("b"))).withColumnRenamed("root", "top")
+    known = roots.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
+    return cut(known.union(nodes.join(tops, "node").select("node", "top")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,29 +326,49 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), copies (rows with the same words), kept.
-
-    Two documents are linked if their words are the same, or align with at most (1 - similar) of the longer one's
-    words edited, and at least AGREE of their sketches agree; classes are the links' components. Texts without words,
-    null ones too, are alike only if equal (null: empty). A class keeps the row with its least doc_id; rows that repeat
-    whole share an id, and one of them is kept. Rows with a null doc_id have their own text's class, and are kept only
-    where the class has no other row.
-    """
+def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: row, doc_id, v, key; classes: key, copies, class_id, first (the row that its class keeps))."""
     slim = stored(_sketched(docs), "sketches")
-    reps = cut(slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("s").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies")))
-    usable = reps.where(F.col("rep").isNotNull() & F.col("s").isNotNull())
+    # the least document stands for a key: one with an id before one without
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "v", "row")
+    reps = cut(slim.groupBy("key").agg(F.min(order).alias("one"), F.min("s").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("rep", F.col("one.row")))
+    usable = reps.where(F.col("s").isNotNull())
     pairs = cut(_agreeing(_candidates(usable), usable))
-    words = _encoded(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    words = cut(slim.select(F.col("row").alias("rep"), "w").join(_few(wanted), "rep"))
     strongest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-    best = pairs.withColumn("n", strongest).where("n = 1").select("a", "b")
+    best = pairs.withColumn("nth", strongest).where("nth = 1").select("a", "b")
     links = cut(_verified(best, words, similar).select("a", "b"))
     roots = _exact(usable, links, words, similar)
-    classes = reps.join(roots, reps.rep == roots.node, "left").select("key", "copies", F.coalesce("root", "rep").alias("class_id"))
-    out = slim.select("doc_id", "key").join(classes, "key")
-    once = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
-    kept = F.when(F.col("doc_id") == F.col("class_id"), F.lit(True)).when(F.col("class_id").isNull(), F.lit(True)).otherwise(False)
-    return out.select("doc_id", "class_id", "copies", "key", kept.alias("kept")).withColumn("kept", F.col("kept") & (once == 1)).drop("key")
+    rooted = cut(reps.join(roots, reps.rep == roots.node, "left").select("key", "copies", "one", F.coalesce("root", "rep").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("one").alias("first"))
+    classes = rooted.join(firsts, "root").select("key", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first"))
+    return slim.select("row", "doc_id", "v", "key"), cut(classes)
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), copies (rows with the same words), kept.
+
+    Two documents are linked if their words are the same, or align with at most (1 - similar) of the longer one's
+    words edited, and at least one of their sketches agrees; classes are the links' components. Texts without words,
+    null ones too, are alike only if equal (null: empty). A class keeps exactly one row: that of its least doc_id (of
+    rows that share an id, any one by text hash). Rows are told apart by themselves, not by their ids: repeated rows are
+    copies, rows that share an id are judged by their own texts, and rows with a null doc_id are kept only where
+    their class has no other; class_id is null where all its ids are. An empty table gives an empty result. Other
+    columns of the input are ignored.
+    """
+    rows, classes = _classes(docs, similar)
+    return rows.join(classes, "key").select("doc_id", "class_id", "copies", (F.col("row") == F.col("first")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs, with all its columns, less all rows but one of each class (see near_duplicates)."""
+    rows, classes = _classes(docs, similar)
+    kept = rows.join(classes.select(F.col("first").alias("row")), "row").select(F.coalesce("doc_id", F.lit(0)).alias("_near_id"), F.col("doc_id").isNull().alias("_near_none"), F.col("v").alias("_near_v"))
+    key = {"_near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_near_none": F.col("doc_id").isNull(), "_near_v": F.xxhash64(text_of())}
+    # rows that repeat whole are one before they meet the kept ones
+    once = docs.withColumns(key).dropDuplicates(list(key))
+    return once.join(kept.distinct(), list(key), "left_semi").select(*docs.columns)
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
