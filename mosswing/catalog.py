@@ -65,6 +65,10 @@ class Keys:
     def __init__(self, keys: dict[str, tuple[str, str | None]]) -> None:
         self.by_digest = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in keys.items()}
 
+    def name(self, key: str) -> str:
+        """What stands for a key in an audit trail: the begin of its digest."""
+        return hashlib.sha256(key.encode()).hexdigest()[:12]
+
     def authorize(self, key: str, role: str, tenant: str | None = None) -> str | None:
         """The tenant to act for; PermissionError if the role is too low or the tenant is another."""
         own = self.by_digest.get(hashlib.sha256(key.encode()).hexdigest())

@@ -37,10 +37,10 @@ def apply_patches(live: DataFrame, patches: DataFrame, id_col: str, fields: list
     patches: id, seq, and for each field f the columns set_f (boolean: this patch touches f) and f (its new value or
     null). The last patch that touches a field decides it.
     """
-    decided = patches.groupBy(F.col(id_col).alias("_id")).agg(
+    decided = patches.groupBy(F.col(id_col).alias("_patched")).agg(
         *[F.max_by(F.struct(F.lit(True).alias("touched"), F.col(f).alias("value")), F.when(F.col(f"set_{f}"), F.col(seq))).alias(f"_{f}") for f in fields]
     )
-    joined = live.join(decided, live[id_col] == decided["_id"], "left")
+    joined = live.join(decided, live[id_col] == decided["_patched"], "left")
     new = {f: F.when(F.col(f"_{f}.touched"), F.col(f"_{f}.value")).otherwise(F.col(f)) for f in fields}
     return joined.withColumns(new).select(*live.columns)
 

@@ -36,6 +36,7 @@ class SearchRequest:
     fusion: Rrf | Weighted = Rrf()
     group_by: str | None = None
     with_documents: bool = True
+    exact: bool = False
 
     @property
     def depth(self) -> int:
@@ -64,7 +65,7 @@ class SearchRequest:
 
 def parse_request(body: dict[str, Any], schema: Schema) -> SearchRequest:
     """The JSON body of a search: vectors [{field, vector, ef}], text {field, query, all_terms}, filter, k, oversample,
-    fusion {"rrf": {"k": 60}} or {"weighted": [...]}, group_by, with_documents."""
+    fusion {"rrf": {"k": 60}} or {"weighted": [...]}, group_by, with_documents, exact."""
     vectors = tuple(VectorLeg(v["field"], tuple(v["vector"]), int(v.get("ef", 0))) for v in body.get("vectors", []))
     t = body.get("text")
     text = TextLeg(t["field"], t["query"], bool(t.get("all_terms", False))) if t else None
@@ -77,5 +78,5 @@ def parse_request(body: dict[str, Any], schema: Schema) -> SearchRequest:
         raise Invalid("fusion is rrf or weighted")
     request = SearchRequest(
         vectors, text, parse_filter(body.get("filter"), schema), int(body.get("k", 10)), min(64, max(1, int(body.get("oversample", 4)))),
-        fusion, body.get("group_by"), bool(body.get("with_documents", True)))
+        fusion, body.get("group_by"), bool(body.get("with_documents", True)), bool(body.get("exact", False)))
     return request.check(schema)

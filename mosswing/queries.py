@@ -13,14 +13,14 @@ from . import evaluate
 from .operators import bm25 as text_ops
 from .operators import knn
 from .operators.fusion import Rrf, Weighted, fuse, ranked_leg
-from .operators.logfold import apply_patches, delete_where_counts, fold, keyed_order, latest
-from .operators.search import best_of_groups, hits, search
+from .operators.logfold import apply_patches, delete_where_counts, fold, latest
+from .operators.search import hits, search
 from .plans.filters import Predicate, parse_filter, unexpired
 from .plans.request import SearchRequest, TextLeg, VectorLeg
 from .schema import Schema
 from .sources import synth
 from .store import Collection
-from .streaming.ingest import follow
+from .streaming.ingest import apply_batch, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,30 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(d.doc_id.alias("id"), "text", "lang", "source", "n_chars", "embedding", "label", "quality", "toxic")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder where spark.checkpoint.dir is, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="mosswing-")
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+_stored: dict[tuple[str, str], Collection] = {}
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> Collection:
+    """The corpus as a collection with its postings: built by the first query of a session that searches texts."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        c = Collection(spark, _folder(spark), CORPUS)
+        c.upsert_frame(corpus(spark, sf_dir))
+        c.compact(force=True)
+        _stored[key] = c
+    return _stored[key]
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select(F.col("embedding").cast("array<double>")).first()
     return [float(x) for x in row[0]]
@@ -161,7 +185,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query("knn_null_vectors", f"SELECT count(*) AS n FROM {CORPUS_SQL} WHERE embedding IS NOT NULL")
 def knn_null_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d)
-    everyone = knn.exact_knn(rows, "id", "embedding", query_vector(spark, d), "l2", 2_000_000)
+    everyone = knn.exact_knn(rows, "id", "embedding", query_vector(spark, d), "l2", None)
     return everyone.agg(F.count("*").alias("n"))
 
 
@@ -209,8 +233,9 @@ def _bm25_sql(terms: list[str], k: int, where: str = "true", match_all: bool = F
 
 def _bm25_query(text: str, k: int = 10, match_all: bool = False, spec: dict | None = None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        where = parse_filter(spec, CORPUS).column() if spec else None
-        return text_ops.bm25(corpus(spark, d), "id", "text", text, k, match_all, where, digits=6)
+        request = SearchRequest(text=TextLeg("text", text, match_all), where=parse_filter(spec, CORPUS), k=k, oversample=1, with_documents=False)
+        found = stored_corpus(spark, d).search(request, digits=6)
+        return found.select(F.col("_id").alias("id"), F.col("legs")[0]["score"].alias("score"))
 
     return run
 
@@ -241,7 +266,7 @@ def bm25_null_text(spark: SparkSession, d: str) -> DataFrame:
  SELECT query_id, rank, id, score FROM r WHERE rank <= 5""")
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return text_ops.batch_bm25(table(spark, d, "documents"), "doc_id", "text", queries, 5)
+    return stored_corpus(spark, d).batch_text("text", queries, 5)
 
 
 @query("doc_freq", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term")
@@ -265,7 +290,11 @@ def hybrid_request(spark: SparkSession, d: str, **more) -> SearchRequest:
 
 
 def _hybrid(**more) -> Query:
-    return lambda spark, d: _flat(hits(corpus(spark, d), hybrid_request(spark, d, **more), CORPUS, digits=6), 2)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = stored_corpus(spark, d).search(hybrid_request(spark, d, with_documents=False, **more), digits=6)
+        return _flat(found.select(F.col("_id").alias("id"), "score", "legs"), 2)
+
+    return run
 
 
 def _legs_sql(k: int) -> list[tuple[str, bool]]:
@@ -313,16 +342,15 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _group_sql(field: str, where: str = "true") -> str:
-    found = f"(SELECT c.id, f.score, c.{field} AS g FROM ({_knn_sql('l2', 2_000_000, where)}) f JOIN {CORPUS_SQL} c USING (id))"
+    found = f"(SELECT c.id, f.score, c.{field} AS g FROM (SELECT id, {_DIST['dot'].format(n=0)} AS score FROM {CORPUS_SQL} WHERE embedding IS NOT NULL AND {where}) f JOIN {CORPUS_SQL} c USING (id))"
     return f"""SELECT id, score0, g AS "group" FROM (SELECT id, score AS score0, g, row_number() OVER (PARTITION BY g IS NULL, coalesce(g::VARCHAR, id::VARCHAR) ORDER BY score, id) AS n FROM {found}) WHERE n = 1 ORDER BY score0, id LIMIT 10"""
 
 
 def _group_query(field: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = corpus(spark, d)
-        found = knn.exact_knn(rows, "id", "embedding", query_vector(spark, d), "l2", 2_000_000, digits=6)
-        signed = found.select("id", (-F.col("score")).alias("score"), F.array().cast("array<int>").alias("legs"))
-        return best_of_groups(signed, rows, field, 10).select("id", (-F.col("score")).alias("score0"), "group")
+        """A search that widens until it has enough groups."""
+        request = SearchRequest(vectors=(VectorLeg("embedding", tuple(query_vector(spark, d))),), group_by=field, with_documents=False)
+        return search(corpus(spark, d), request, CORPUS, digits=6).select("id", F.col("legs")[0]["score"].alias("score0"), "group")
 
     return run
 
@@ -369,15 +397,26 @@ def log_delete_where_positional(spark: SparkSession, d: str) -> DataFrame:
     return fold(*_log(spark, d), "id", [(at, F.col("event_type") == "view")])
 
 
-@query("log_delete_where_count", f"""SELECT count(*) AS count FROM (SELECT * FROM (SELECT * FROM {_UPS} WHERE seq < 500 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l
- WHERE NOT EXISTS (SELECT 1 FROM {_DELS} x WHERE x.id = l.id AND x.seq > l.seq AND x.seq < 500)) WHERE event_type = 'click'""")
+_NEAR_END = "(SELECT max(event_id) - 100 FROM events)"
+
+
+@query("log_delete_where_count", f"""SELECT count(*) AS count FROM (SELECT * FROM (SELECT * FROM {_UPS} WHERE seq < {_NEAR_END} QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l
+ WHERE NOT EXISTS (SELECT 1 FROM {_DELS} x WHERE x.id = l.id AND x.seq > l.seq AND x.seq < {_NEAR_END})) WHERE event_type = 'click'""")
 def log_delete_where_count(spark: SparkSession, d: str) -> DataFrame:
-    return delete_where_counts(*_log(spark, d), "id", 500, F.col("event_type") == "click")
+    at = table(spark, d, "events").agg(F.max("event_id")).first()[0] - 100
+    return delete_where_counts(*_log(spark, d), "id", at, F.col("event_type") == "click")
 
 
 @query("keyed_reorder", f"SELECT id AS key, max(seq) AS ord FROM {_UPS} GROUP BY id")
 def keyed_reorder(spark: SparkSession, d: str) -> DataFrame:
-    return keyed_order(_log(spark, d)[0].withColumnRenamed("id", "key"), "key")
+    """Text ids in a collection, rewritten by a second commit: each sorts by its last write."""
+    c = Collection(spark, _folder(spark), Schema.parse([{"name": "event_type", "kind": "enum"}]))
+    rows = _log(spark, d)[0].withColumn("id", F.col("id").cast("string"))
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    c.upsert_frame(rows.where(F.col("seq") > half), "id", "seq")
+    c.upsert_frame(rows.where(F.col("seq") <= half), "id", "seq")
+    c.upsert_frame(rows, "id", "seq")
+    return c.snapshot().select(F.col("_key").cast("long").alias("key"), F.col("_ord.pos").alias("ord"))
 
 
 _PATCHES = "(SELECT user_id * 7 AS id, event_id AS seq, event_type FROM events WHERE event_type IN ('click', 'view'))"
@@ -399,8 +438,9 @@ def patch_set_clear(spark: SparkSession, d: str) -> DataFrame:
 
 @query("patch_missing", f"SELECT count(DISTINCT p.id) AS patched FROM {_PATCHES} p JOIN documents d ON d.doc_id = p.id")
 def patch_missing(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return live.join(_patches(spark, d).select("id"), "id", "left_semi").agg(F.count("*").alias("patched"))
+    c = Collection(spark, _folder(spark), Schema.parse([{"name": "n_chars", "kind": "i64"}, {"name": "lang", "kind": "enum"}]))
+    c.upsert_frame(table(spark, d, "documents"), "doc_id")
+    return spark.createDataFrame([(c.patch_frame(_patches(spark, d))["patched"],)], "patched long")
 
 
 # tenants, retention, reports
@@ -408,14 +448,34 @@ def patch_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tenant_scope", "SELECT doc_id AS id, n_chars FROM documents WHERE source = 'src3' AND lang = 'en'")
 def tenant_scope(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").withColumnRenamed("source", "_tenant")
-    return rows.where((F.col("_tenant") == "src3") & (F.col("lang") == "en")).select(F.col("doc_id").alias("id"), "n_chars")
+    mine = _by_source(spark, d).for_tenant("src3").snapshot()
+    return mine.where(parse_filter({"field": "lang", "eq": "en"}, _PLAIN).column()).select(F.col("_id").alias("id"), "n_chars")
+
+
+_PLAIN = Schema.parse([{"name": "lang", "kind": "enum"}, {"name": "n_chars", "kind": "i64"}])
+
+
+def _by_source(spark: SparkSession, d: str) -> Collection:
+    """Documents of which each source is a tenant."""
+    c = Collection(spark, _folder(spark), _PLAIN)
+    c.upsert_frame(table(spark, d, "documents"), "doc_id", tenant_col="source")
+    return c
+
+
+@query("tenant_unscoped", "SELECT source AS tenant, count(*) AS n, sum(doc_id) AS ids FROM (SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, 'other' FROM documents) GROUP BY source")
+def tenant_unscoped(spark: SparkSession, d: str) -> DataFrame:
+    """Every id belongs to two tenants; a read of all tenants keeps them apart."""
+    c = _by_source(spark, d)
+    c.for_tenant("other").upsert_frame(table(spark, d, "documents"), "doc_id")
+    rows = c.snapshot().dropDuplicates(["_ord"])
+    return rows.groupBy(F.col("_tenant").alias("tenant")).agg(F.count("*").alias("n"), F.sum("_id").alias("ids"))
 
 
 @query("erase_tenant", "SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source")
 def erase_tenant(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("seq"), "source")
-    return fold(rows, spark.createDataFrame([], "id long, seq long"), "id", [(2, F.col("source") == "src3")]).groupBy("source").agg(F.count("*").alias("n"))
+    c = _by_source(spark, d)
+    c.erase_tenant("src3")
+    return c.snapshot().groupBy(F.col("_tenant").alias("source")).agg(F.count("*").alias("n"))
 
 
 _NOW = 803_000_000_000
@@ -439,24 +499,23 @@ def retention_visible(spark: SparkSession, d: str) -> DataFrame:
 
 @query("retention_sweep_count", f"SELECT count(*) AS count FROM {_ORDERS} WHERE expires <= {_NOW}")
 def retention_sweep_count(spark: SparkSession, d: str) -> DataFrame:
-    return _orders(spark, d).where(~F.coalesce(_retained().column(), F.lit(False))).agg(F.count("*").alias("count"))
+    c = Collection(spark, _folder(spark), Schema.parse([{"name": "expires", "kind": "date"}]), expires="expires", clock=lambda: _NOW)
+    c.upsert_frame(_orders(spark, d))
+    return spark.createDataFrame([(c.sweep()["count"],)], "count long")
 
 
 @query("deletion_report", f"SELECT u.id, CASE WHEN f.id IS NULL THEN 'deleted' ELSE 'not proven' END AS verdict FROM (SELECT DISTINCT user_id AS id FROM events) u LEFT JOIN {_FOLDED} f USING (id)")
 def deletion_report(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
-    live = fold(*_log(spark, d), "id").select("id", F.lit(True).alias("there"))
-    return asked.join(live, "id", "left").select("id", F.when(F.col("there"), "not proven").otherwise("deleted").alias("verdict"))
+    """The events as commands in one commit; then whether any layer of the collection still shows each id."""
+    c = Collection(spark, _folder(spark), Schema.parse([{"name": "event_type", "kind": "enum"}]))
+    events = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
+    apply_batch(c, events.withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("upsert")), "events", 0)
+    return c.presence(events.select("id").distinct())
 
 
 # snapshots on disk and the stream into them
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mosswing-store-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 @query("store_lifecycle", "SELECT doc_id AS id, CASE WHEN doc_id = 0 THEN 'xx' ELSE lang END AS lang, n_chars FROM documents WHERE lang <> 'de' AND doc_id NOT IN (1, 2) AND NOT (n_chars < 400 AND lang = 'en')")
 def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Upsert, delete by id and by filter, patch, compaction; each a commit."""
@@ -497,19 +556,60 @@ def synthetic_flags(spark: SparkSession, d: str) -> DataFrame:
     return synth.attributes(spark, 20_000)
 
 
-@query("sq8_rerank")
+_TEN = "SELECT id, round(score, 4) AS score FROM (" + _knn_sql("l2", 10).replace(CORPUS_SQL, "(SELECT vec_id AS id, embedding FROM embeddings)") + ")"
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round(F.round("score", 6), 4).alias("score"))
+
+
+@query("sq8_rerank", _TEN)
 def sq8_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return knn.sq8_knn(table(spark, d, "embeddings"), "vec_id", "embedding", query_vector(spark, d), "l2", 10)
+    """Stored codes; four times as many candidates as are asked for keep all true neighbours here."""
+    e = table(spark, d, "embeddings")
+    sq8 = knn.Sq8.fit(e, "embedding")
+    coded, path = e.withColumn("q8", sq8.codes("embedding")), _folder(spark)
+    coded.write.parquet(path)
+    return _rounded(knn.sq8_knn(spark.read.parquet(path), sq8, "vec_id", "embedding", query_vector(spark, d), "l2", 10))
 
 
-@query("ivf_probe_recall")
-def ivf_probe_recall(spark: SparkSession, d: str) -> DataFrame:
+@query("pq_rerank_recall", "SELECT true AS enough")
+def pq_rerank_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Product codes, the best tenth of the table ranked again: whether nine of the ten true neighbours are found."""
     e = table(spark, d, "embeddings")
-    indexed, centres = knn.ivf_assign(e, "embedding", 8)
+    pq = knn.Pq.fit(e, "embedding")
     v = query_vector(spark, d)
-    got = knn.ivf_knn(indexed, centres, "vec_id", "embedding", v, 10, 4).agg(F.collect_list("id").alias("got"))
+    got = knn.pq_knn(pq.encoded(e, "embedding"), pq, "vec_id", "embedding", v, "l2", 10).agg(F.collect_list("id").alias("got"))
     truth = knn.exact_knn(e, "vec_id", "embedding", v, "l2", 10).agg(F.collect_list("id").alias("truth"))
-    return got.crossJoin(truth).select(evaluate.recall("got", "truth", 10).alias("recall"))  # one row each
+    return got.crossJoin(truth).select((evaluate.recall("got", "truth", 10) >= 0.9).alias("enough"))  # one row each
+
+
+@query("ivf_probe_recall", "SELECT true AS enough")
+def ivf_probe_recall(spark: SparkSession, d: str) -> DataFrame:
+    """A clustered collection against an exact request, over eight queries: whether recall is 0.9 on average."""
+    e = table(spark, d, "embeddings")
+    c = Collection(spark, _folder(spark), Schema.parse([{"name": "embedding", "kind": "vector", "dims": 64, "metric": "l2"}]))
+    c.upsert_frame(e, "vec_id")
+    c.cluster("embedding", 8)
+    centres, rows = c._centres(c.manifest().lists), c.snapshot()
+    found = 0.0
+    for n in range(8):
+        v = query_vector(spark, d, n)
+        near = knn.nearest_centres(centres, v, "l2", 6)
+        got = knn.exact_knn(rows, "_id", "embedding", v, "l2", 10, F.col("_list").isin(near)).agg(F.collect_list("id").alias("got"))
+        truth = knn.exact_knn(e, "vec_id", "embedding", v, "l2", 10).agg(F.collect_list("id").alias("truth"))
+        found += got.crossJoin(truth).select(evaluate.recall("got", "truth", 10)).first()[0] / 8  # one row each
+    return spark.createDataFrame([(found >= 0.9,)], "enough boolean")
+
+
+@query("ivf_search", _rrf_sql([(_knn_sql("dot", 40), False)], 10))
+def ivf_search(spark: SparkSession, d: str) -> DataFrame:
+    """A clustered collection whose few rows take the exact route; the same answers as without lists."""
+    c = Collection(spark, _folder(spark), CORPUS)
+    c.upsert_frame(corpus(spark, d))
+    c.cluster("embedding", 8)
+    request = SearchRequest(vectors=(VectorLeg("embedding", tuple(query_vector(spark, d))),), with_documents=False)
+    return _flat(c.search(request, digits=6).select(F.col("_id").alias("id"), "score", "legs"), 1)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,9 +18,7 @@ def apply_batch(collection: Collection, commands: DataFrame, source: str, batch_
     gone = last.where(F.col(op) == "delete").select(
         F.lit(collection.tenant).cast("string").alias("_tenant"), (F.lit(None) if text else F.col(id_col)).cast("long").alias("_id"),
         (F.col(id_col) if text else F.lit(None)).cast("string").alias("_key"))
-    if not gone.isEmpty():
-        collection._commit(None, gone.select(*IDENTITY), None)
-    collection.upsert_frame(last.where(F.col(op) == "upsert"), id_col, seq, batch=(source, batch_id))
+    collection.upsert_frame(last.where(F.col(op) == "upsert"), id_col, seq, batch=(source, batch_id), gone=gone.select(*IDENTITY))
     last.unpersist()
 
 
@@ -28,3 +26,9 @@ def follow(commands: DataFrame, collection: Collection, checkpoint: str, source:
     """Starts the stream; trigger availableNow, so that it ends with what is there."""
     run = lambda df, n: apply_batch(collection, df, source, n, **columns)
     return commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sweep_every(spark: SparkSession, collection: Collection, checkpoint: str, seconds: int) -> StreamingQuery:
+    """Removes what has expired, time and again, until the query is stopped; a sweep that finds nothing writes nothing."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda df, n: collection.sweep() and None).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

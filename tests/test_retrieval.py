@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from mosswing.functions.tokens import query_terms, tokens
 from mosswing.operators.bm25 import batch_bm25, bm25
 from mosswing.operators.fusion import Rrf, Weighted, fuse, ranked_leg
-from mosswing.operators.knn import batch_knn, choose_route, exact_knn, sq8_knn
+from mosswing.operators.knn import Pq, Sq8, batch_knn, choose_route, exact_knn, pq_knn, sq8_knn
 from mosswing.operators.search import search
 from mosswing.plans.request import parse_request
 from mosswing.schema import Invalid, Schema
 
-TEXTS = ["nuclear energy minister", "nuclear waste", "energy minister energy policy minister talks about the energy", "the weather", None, "nuclear nuclear nuclear test"]
+TEXTS = ["nuclear fish minister", "nuclear pond", "fish minister fish garden minister swims beside the fish", "the winter", None, "nuclear nuclear nuclear spoon"]
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def query_terms_list(text):
     return "".join(c.lower() if c.isalnum() else " " for c in text or "").split()
 
 
-@pytest.mark.parametrize("query, every", [("nuclear energy", False), ("nuclear energy", True), ("Minister", False), ("energy", True), ("nothing here", False), ("nuclear qqq", True), ("", False), ("...", False)])
+@pytest.mark.parametrize("query, every", [("nuclear fish", False), ("nuclear fish", True), ("Minister", False), ("fish", True), ("nothing here", False), ("nuclear qqq", True), ("", False), ("...", False)])
 def test_bm25(corpus, query, every):
     want = [(i, round(s, 6)) for i, s in brute_bm25(TEXTS, query, every)]
     assert pairs(bm25(corpus, "id", "t", query, 10, every)) == want
@@ -57,14 +57,14 @@ def test_bm25_filter_keeps_statistics(corpus):
 
 
 def test_batch_bm25(spark, corpus):
-    queries = spark.createDataFrame([(1, "nuclear energy"), (2, "the")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "nuclear fish"), (2, "the")], "query_id long, text string")
     got = {(r["query_id"], r["id"]): round(r["score"], 6) for r in batch_bm25(corpus, "id", "t", queries, 10).collect()}
-    assert got == {(q, i): round(s, 6) for q, t in ((1, "nuclear energy"), (2, "the")) for i, s in brute_bm25(TEXTS, t)}
+    assert got == {(q, i): round(s, 6) for q, t in ((1, "nuclear fish"), (2, "the")) for i, s in brute_bm25(TEXTS, t)}
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("Hello, World! Énergie nucléaire-2024 ok_no",), ("  ...  ",), (None,), ("ΟΔΟΣ",)], "t string")
-    assert [r[0] for r in df.select(tokens("t")).collect()] == [["hello", "world", "énergie", "nucléaire", "2024", "ok", "no"], [], [], ["οδοσ"]]
+    df = spark.createDataFrame([("Bonjour, Marché! Étang profond-1999 ja_nein",), ("  ...  ",), (None,), ("ΟΔΟΣ",)], "t string")
+    assert [r[0] for r in df.select(tokens("t")).collect()] == [["bonjour", "marché", "étang", "profond", "1999", "ja", "nein"], [], [], ["οδοσ"]]
     assert query_terms("b a B, ½") == ["a", "b", "½"]
 
 
@@ -83,7 +83,11 @@ def test_knn(spark, corpus, metric):
     assert pairs(exact_knn(corpus, "id", "v", q, metric, 10)) == want
     queries = spark.createDataFrame([(7, q)], "query_id long, vector array<double>")
     assert pairs(batch_knn(corpus, "id", "v", queries, metric, 3).orderBy("rank")) == want[:3]
-    assert len(sq8_knn(corpus, "id", "v", q, metric, 3).collect()) == 3
+    sq8 = Sq8.fit(corpus, "v")
+    coded = corpus.withColumn("q8", sq8.codes("v"))
+    assert pairs(sq8_knn(coded, sq8, "id", "v", q, metric, 3)) == want[:3]
+    pq = Pq.fit(corpus, "v", width=1)
+    assert metric == "cosine" or pairs(pq_knn(pq.encoded(corpus, "v"), pq, "id", "v", q, metric, 3)) == want[:3]
 
 
 def test_zero_vectors_and_ties(spark):

@@ -180,3 +180,146 @@ def test_catalog_keys_and_audit(spark, tmp_path):
     trail = AuditTrail(spark, str(tmp_path))
     trail.add("k2", "b-1", "delete", {"count": 2, "consistency_token": "1.1"})
     assert trail.read().select(F.sum("count")).first()[0] == 2
+
+
+TEXT = [{"name": "t", "kind": "text"}, {"name": "v", "kind": "vector", "dims": 2, "metric": "l2"}, {"name": "kind", "kind": "enum"}]
+
+
+@pytest.fixture
+def texts(spark, tmp_path):
+    return Collection(spark, str(tmp_path / "t"), Schema.parse(TEXT))
+
+
+def test_all_tenants_are_kept_apart(texts):
+    a, b = texts.for_tenant("a"), texts.for_tenant("b")
+    a.upsert([{"id": 1, "t": "red apple", "kind": "x", "v": [0.0, 0.0]}])
+    b.upsert([{"id": 1, "t": "red red pear", "kind": "x", "v": [3.0, 4.0]}])
+    rows = texts.search({"text": {"field": "t", "query": "red"}}).collect()
+    assert sorted((r["_tenant"], r["_id"], r["doc"]["t"]) for r in rows) == [("a", 1, "red apple"), ("b", 1, "red red pear")]
+    assert len({r["legs"][0]["score"] for r in rows}) == 2
+    near = texts.search({"vectors": [{"field": "v", "vector": [0, 0]}]}).collect()
+    assert [(r["_tenant"], r["legs"][0]["score"]) for r in near] == [("a", 0.0), ("b", 25.0)]
+    assert texts.search({"filter": {"field": "kind", "eq": "x"}}).count() == 2
+    assert [r["_tenant"] for r in a.search({"text": {"field": "t", "query": "pear red"}}).collect()] == ["a"]
+
+
+def test_text_ids_sort_by_commit(spark, docs):
+    for n, ids in enumerate((["m", "k"], ["a", "z"], ["k"])):
+        df = spark.createDataFrame([(i, n) for i in ids], "id string, n long").repartition(3).selectExpr("*", "cast(null as string) kind", "cast(null as long) until")
+        assert docs.upsert_frame(df)["count"] == len(ids)
+    found = [(r["_key"], r["doc"]["n"]) for r in docs.search({"k": 10}).collect()]
+    assert found[0] == ("m", 0) and {x for x, _ in found[1:3]} == {"a", "z"} and found[3] == ("k", 2)
+
+
+def test_a_dead_writer_blocks_nobody(docs):
+    docs.upsert([{"id": 1, "n": 1}])
+    for left in ("manifest-2.json.lock", ".deadbeef"):  # what a writer may leave
+        with open(f"{docs.root}/{left}", "w"):
+            pass
+    docs.upsert([{"id": 2, "n": 2}])
+    assert set(state(docs)) == {1, 2}
+
+
+def test_one_version_a_batch(spark, docs):
+    docs.upsert([{"id": 1, "n": 1}, {"id": 2, "n": 1}])
+    df = spark.createDataFrame([(1, 5, "delete", 0), (2, 6, "upsert", 9), (3, 7, "upsert", 9)], "id long, seq long, op string, n long")
+    apply_batch(docs, df.selectExpr("*", "cast(null as string) kind", "cast(null as long) until"), "s", 4)
+    assert docs.manifest().version == 2 and docs.manifest().batches == {"s": 4} and set(state(docs)) == {2, 3}
+
+
+def test_small_compactions_leave_the_base(docs):
+    docs.upsert([{"id": i, "n": 0} for i in range(100)])
+    docs.compact(force=True)
+    base = docs.manifest().bases
+    for i in range(4):
+        docs.upsert([{"id": i, "n": 1}])
+    docs.delete([3, 50])
+    want = state(docs)
+    assert docs.changes(docs.manifest().version - 1)[1].count() == 2
+    assert docs.compact(deltas=2) and docs.manifest().bases == base and len(docs.manifest().deltas) == 1
+    assert state(docs) == want and 3 not in want and 50 not in want and want[2] == (1, None)
+    docs.upsert([{"id": 50, "n": 7}])
+    assert state(docs) == want | {50: (7, None)} and docs.changes(0) is None
+
+
+def test_point_reads_reach_the_scan(docs):
+    docs.upsert([{"id": i, "n": 0} for i in range(50)])
+    docs.compact(force=True)
+    docs.upsert([{"id": 7, "n": 1}])
+    docs.delete([8])
+    plan = docs.snapshot().where("_id = 9")._jdf.queryExecution().executedPlan().toString()
+    base = plan.split("FileScan parquet")[1]  # the bases come first; nothing of them is shuffled
+    assert "EqualTo(_id,9)" in base and "Exchange" not in plan.split("FileScan parquet")[0].replace("BroadcastExchange", "") and docs.get(9)["n"] == 0 and docs.get(7)["n"] == 1 and docs.get(8) is None
+
+
+def test_text_search_by_postings(texts):
+    from test_retrieval import brute_bm25
+
+    words = ["red", "blue", "green", "tall", "small"]
+    r = random.Random(1)
+    known = {i: " ".join(r.choice(words) for _ in range(r.randrange(0, 9))) for i in range(1, 41)}
+    texts.upsert([{"id": i, "t": t or None, "kind": "xy"[i % 2]} for i, t in known.items()])
+    texts.compact(force=True)
+    texts.upsert([{"id": 5, "t": "blue blue red"}, {"id": 41, "t": "tall red"}])
+    texts.delete([9])
+    texts.delete_where({"field": "kind", "eq": "y"}, ids=[11])
+    known |= {5: "blue blue red", 41: "tall red"}
+    live = [i for i in sorted(known) if i not in (9, 11)]
+    for query, every in (("red blue", False), ("Red tall", True), ("nothing", False)):
+        want = [(live[i - 1], round(s, 6)) for i, s in brute_bm25([known[i] for i in live], query, every)]
+        got = [(x["_id"], round(x["legs"][0]["score"], 6)) for x in texts.search({"text": {"field": "t", "query": query, "all_terms": every}, "k": 100, "oversample": 1}).collect()]
+        assert got == want
+        only = [(x["_id"], round(x["legs"][0]["score"], 6)) for x in texts.search({"text": {"field": "t", "query": query, "all_terms": every}, "k": 100, "filter": {"field": "kind", "eq": "x"}}).collect()]
+        assert only == [(i, s) for i, s in want if i % 2 == 0 and i != 41]
+
+
+def test_lists_of_vectors(spark, texts):
+    r = random.Random(2)
+    rows = [(i, None, [r.random(), r.random()] if i % 10 else None, "x") for i in range(1, 400)]
+    texts.upsert_frame(spark.createDataFrame(rows, "id long, t string, v array<float>, kind string"))
+    texts.cluster("v", 8)
+    assert texts.manifest().lists["lists"] == 8
+    texts.upsert([{"id": 1000, "v": [0.5, 0.5]}])
+    texts.delete([rows[0][0]])
+    query = {"vectors": [{"field": "v", "vector": [0.5, 0.5]}], "k": 5, "with_documents": False}
+    exact = [x["_id"] for x in texts.search(query | {"exact": True}).collect()]
+    assert exact[0] == 1000
+    import mosswing.store as module
+
+    route, module.choose_route = module.choose_route, lambda passing, total: "ivf"
+    try:
+        assert [x["_id"] for x in texts.search(query).collect()] == exact
+        plan = texts.search(query)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_list" in plan
+    finally:
+        module.choose_route = route
+    texts.compact(force=True)
+    assert texts.manifest().lists["lists"] == 8 and [x["_id"] for x in texts.search(query).collect()] == exact
+
+
+def test_frames_of_patches_and_presence(spark, docs):
+    docs.upsert([{"id": i, "n": i, "kind": "x"} for i in range(5)])
+    patches = spark.createDataFrame([(1, 1, True, 10), (1, 2, True, 11), (2, 1, True, None), (9, 1, True, 1)], "id long, seq long, set_n boolean, n long")
+    assert docs.patch_frame(patches)["patched"] == 2
+    assert state(docs) == {0: (0, "x"), 1: (11, "x"), 2: (None, "x"), 3: (3, "x"), 4: (4, "x")}
+    docs.delete([0])
+    got = docs.presence(spark.createDataFrame([(0,), (1,), (77,)], "id long")).collect()
+    assert {r["id"]: r["verdict"] for r in got} == {0: "deleted", 1: "not proven", 77: "deleted"}
+
+
+def test_client_checks_roles_and_keeps_a_trail(spark, tmp_path):
+    from mosswing.client import Client
+
+    cat, trail = Catalog(spark, str(tmp_path)), AuditTrail(spark, str(tmp_path))
+    keys = Keys({"r": ("read", None), "w": ("write", "t1"), "d": ("takedown", None), "a": ("admin", None)})
+    Client(cat, keys, "a").create("c", SPEC)
+    w, r, d = (Client(cat, keys, k, trail) for k in "wrd")
+    w.upsert("c", [{"id": 1, "n": 1}, {"id": 2, "n": 2}])
+    assert w.get("c", 1)["n"] == 1 and r.get("c", 1) is None and r.for_tenant("t1").get("c", 2)["n"] == 2
+    for call in (lambda: r.upsert("c", [{"id": 3}]), lambda: w.delete("c", [1]), lambda: d.erase_tenant("c", "t1"), lambda: w.for_tenant("t2").get("c", 1)):
+        with pytest.raises(PermissionError):
+            call()
+    assert d.for_tenant("t1").delete("c", [1])["count"] == 1 and w.search("c", {}).count() == 1
+    assert d.for_tenant("t1").deletion_report("c", [1])["overall"] == "deleted everywhere"
+    assert Client(cat, keys, "a", trail).erase_tenant("c", "t1")["count"] == 1
+    assert sorted((x["what"], x["count"]) for x in trail.read().collect()) == [("delete", 1), ("erase_tenant", 1)]
