@@ -64,3 +64,41 @@ def test_namesakes_stay_distinct(spark):
     out = {r["doc_id"]: r["text"] for r in replace_entities(df).collect()}
     assert len({out[i] for i in range(len(first))}) == len(first) and len({t.split(",")[0].split()[-1] for t in out.values()}) == 1
     assert out[99].split(",")[0] == out[0] and "Smith" not in out[99]
+
+
+def test_names_again_without_title(spark):
+    text = "Mrs Olivia Brown met Olivia Brown and Noah Green. Later, Brown and Green left; Brown sugar stays."
+    got = replace_entities(spark.createDataFrame([(1, text), (2, "Brown and Green are colours, Olivia.")], "doc_id long, text string"))
+    out = {r["doc_id"]: r["text"] for r in got.collect()}
+    m = re.fullmatch(r"Mrs (\w+ \w+) met (\w+ \w+) and (\w+) (\w+)\. Later, (\w+) and (\w+) left; (\w+) sugar stays\.", out[1])
+    assert m and m[1] == m[2] and m[1].split()[1] == m[5] and m[4] == m[6] and not re.search("Olivia|Noah|Green", out[1])
+    assert out[2] == "Brown and Green are colours, Olivia."
+
+
+def test_several_hundred_persons(spark):
+    """All persons distinct, none unchanged in any part, the same in every document; last names map one to one."""
+    lasts = ["Smith", "Jones", "Miller", "Weber", "Costa", "Lopez"] + [f"{a}{b}" for a in ("Har", "Bel", "Cor") for b in ("ton", "man", "ley", "field")]
+    firsts = ["James", "John", "Mary", "Anna", "Noah", "Emily", "Oliver", "Grace", "Hugo", "Clara", "Martin", "Sarah", "Victor", "Eva", "Paul", "Nina", "Leo", "Ruth", "Max", "Ella"]
+    people = [(f, l) for l in lasts for f in firsts]  # noqa: E741
+    rows = [(i, f"Here {f} {l} speaks.") for i, (f, l) in enumerate(people)] + [(10_000 + i, f"Dr {f} {l} too.") for i, (f, l) in enumerate(people)]  # noqa: E741
+    out = {r["doc_id"]: r["text"] for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = {p: tuple(re.fullmatch(r"Here (\w+) (\w+) speaks\.", out[i]).groups()) for i, p in enumerate(people)}
+    assert len(set(new.values())) == len(people) == 360
+    assert all(a != f and b != l for (f, l), (a, b) in new.items())  # noqa: E741
+    last = {l: {b for (_, m), (_, b) in new.items() if m == l} for l in lasts}  # noqa: E741
+    assert all(len(x) == 1 for x in last.values()) and len(set.union(*last.values())) == len(lasts) and not set.union(*last.values()) & set(lasts)
+    assert all(out[10_000 + i] == "Dr {} {} too.".format(*new[p]) for i, p in enumerate(people))
+
+
+def test_used_up_formats_stay_distinct(spark):
+    """More numbers of a format than it has: some surrogates get longer, none is another's."""
+    rows = [("phone", f"+1{n:02d}") for n in range(60)]
+    df = spark.createDataFrame(rows, "kind string, canon string").selectExpr("*", "'latin' script", "2 country")
+    new = [r["surrogate"] for r in surrogates(df.selectExpr("kind", "substr(canon, 2) canon", "script", "1 country"), "k").collect()]
+    assert len(set(new)) == 60 and all(x.isdigit() for x in new) and not set(new) & {c[1:] for _, c in rows}
+
+
+def test_columns_of_the_input_stay(spark):
+    df = spark.createDataFrame([(1, "a@b.example.com", "x", 5)], "doc_id long, text string, _id string, _raw long")
+    r = replace_entities(df).first()
+    assert r["_id"] == "x" and r["_raw"] == 5 and r["n_entities"] == 1

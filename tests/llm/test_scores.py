@@ -110,10 +110,55 @@ def test_toxicity_held_out(spark, docs, nothing):
     assert toxicity.score(nothing, model).count() == 0 and toxicity.train(nothing, l.limit(0)).score("x") < 0.5
 
 
+def voters(seed, rates, n=4000, share=0.3):
+    r = np.random.default_rng(seed)
+    y = r.random(n) < share
+    return y, np.stack([np.where(y, r.random(n) < a, r.random(n) < b) for a, b in rates], axis=1).astype(np.int8)
+
+
 def test_label_model_finds_accuracies():
-    r = np.random.default_rng(2)
-    y = r.random(4000) < 0.3
-    votes = np.stack([np.where(y, r.random(4000) < a, r.random(4000) < b) for a, b in ((0.8, 0.02), (0.6, 0.01), (0.3, 0.3))], axis=1).astype(np.int8)
+    true = ((0.8, 0.02), (0.6, 0.01), (0.3, 0.3))
+    y, votes = voters(2, true)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that copies another
-    q, a, b = toxicity.label_model(votes, (y ^ (r.random(4000) < 0.02)).astype(float))
-    assert abs(a[0] - 0.8) < 0.08 and abs(a[1] - 0.6) < 0.08 and abs(a[2] - b[2]) < 0.05 and ((q > 0.5) == y).mean() > 0.96
+    q, accuracy, weight = toxicity.label_model(votes, 0.3, np.array([0.85, 0.85, 0.3, 0.85]), votes.sum(0) * 1.0)
+    true = [(votes[y, k]).sum() / votes[:, k].sum() for k in range(4)]
+    assert all(abs(x - t) < 0.15 for x, t in zip(accuracy, true)), (accuracy, true)
+    assert ((q > 0.5) == y).mean() > 0.9 and q[votes.sum(1) == 0].max() < 0.31
+    assert weight[0] + weight[3] < 1.1 and weight[1] > 0.8  # the copy counts once
+
+
+def test_noise_voters_tell_nothing():
+    y, votes = voters(3, [(0.2, 0.2)] * 5)
+    first, rest = slice(0, 2000), slice(2000, None)
+    q, *_ = toxicity.label_model(votes[rest], 0.3, *toxicity.accuracies(votes[first], y[first].astype(float), 0.3))
+    assert ((q > 0.5) == y[rest]).mean() <= (~y[rest]).mean() + 0.01 and abs(np.corrcoef(q, y[rest])[0, 1]) < 0.08
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every score is the logistic of the bias and the weights of the text's own words, beginnings and patterns."""
+    d, l, _ = labelled(spark)  # noqa: E741
+    model = toxicity.train(d, l)
+    for r in toxicity.score(d, model).join(d.select("doc_id", "text"), "doc_id").collect():
+        same = r["text"].lower()
+        words = set(__import__("re").findall(r"[^\W\d_]+", same))
+        z = model.bias + sum(model.weights.get(w, 0.0) + sum(model.weights.get(w[:k] + "*", 0.0) for k in range(4, 9) if len(w) >= k) for w in words)
+        z += sum(model.weights.get("#" + k, 0.0) for k, p in toxicity.PATTERNS.items() if p.search(same))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
+
+
+def test_toxicity_odd_tables(docs, clashing):
+    model = toxicity.Model({"x": 1.0}, -1.0)
+    assert toxicity.score(clashing, model).columns == ["doc_id", "score"] and toxicity.score(clashing, model).count() == docs.count()
+
+
+def test_quality_scores_by_hand(spark):
+    d, l, _ = labelled(spark, 120)  # noqa: E741
+    m = quality.train(d, l)
+    for r in quality.score(d, m).collect():
+        x = quality.features(r["text"])
+        z = m.bias
+        for f, t in enumerate(m.tables):
+            z += t[sum(e <= x[f] for e in m.edges[f])]
+        for (f, g), t in m.pairs.items():
+            z += t[sum(e <= x[f] for e in m.coarse[f]), sum(e <= x[g] for e in m.coarse[g])]
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
