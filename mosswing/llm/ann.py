@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SAMPLE = 16_384
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "query_row long, query_id long, row long, vec_id long, score double"
 
 
 def valid(vector: str = "embedding") -> Column:
@@ -86,17 +86,19 @@ def search(
 
     vectors has vec_id and embedding. Rows with an invalid vector, or another dimension than most, take no part. The
     index (centres, and how many lists to probe for the recall `target`) is fitted on at most SAMPLE rows and 128
-    queries; every row is indexed. A list longer than `chunk` rows is searched in chunks, and so are its queries, so
-    that no group exceeds a bound. Ties go to the smaller vec_id; ids that repeat are candidates each for itself but
-    not for the query with that id. Fewer than k other rows: all of them. No valid rows: an empty result.
+    queries; every row is indexed. A query whose lists hold fewer than k other rows probes further ones until they
+    do. A list longer than `chunk` rows is searched in chunks, and so are the queries that probe it, so that no group
+    exceeds a bound. Rows are told apart by themselves: of rows that share a vec_id each is a query of its own with its
+    own ranks, and a candidate for all but itself. Ties go to the smaller vec_id. Fewer than k other rows: all of them.
+    No valid rows: an empty result. Other columns of the input are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(valid() & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = vectors.where(valid() & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = sizes["d"], sizes["n"]
-    rows = rows.where(F.size("v") == d)
+    rows = rows.where(F.size("v") == d).withColumn("row", F.monotonically_increasing_id())
     turn = rotation(d, seed)
     lists = int(max(1, min(4096, round(n**0.5 / 2))))
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]) @ turn
@@ -109,49 +111,58 @@ def search(
         for pdf in frames:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()) @ t
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "q": pdf["q"], "v": pdf["v"], "list": nearest_lists(x, c, 1)[:, 0]})
+                yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "q": pdf["q"], "v": pdf["v"], "list": nearest_lists(x, c, 1)[:, 0]})
 
-    indexed = cut(rows.mapInPandas(assign, "vec_id long, q boolean, v array<double>, list int"))
+    indexed = cut(rows.mapInPandas(assign, "row long, vec_id long, q boolean, v array<double>, list int"))
     probes = _probes(indexed, sent, k, target, lists, d)
 
+    counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
+    held = np.array([counts.get(i, 0) for i in range(lists)])
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, c = sent.value
         for pdf in frames:
-            if len(pdf):
-                near = nearest_lists(np.stack(pdf["v"].to_numpy()) @ t, c, probes)
-                for a in range(0, len(pdf), max(1, 200_000 // probes)):
-                    b = slice(a, a + max(1, 200_000 // probes))
-                    yield pd.DataFrame({"vec_id": pdf["vec_id"][b], "v": pdf["v"][b], "list": list(near[b])}).explode("list").astype({"list": np.int32})
-
-    wanted = indexed.where("q").select("vec_id", "v").mapInPandas(probe, "vec_id long, v array<double>, list int")
-    counts = {r["list"]: (r["n"], r["m"]) for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect()}
-    queries = sum(m for _, m in counts.values())
-    row_chunks = [-(-counts.get(i, (0, 0))[0] // chunk) or 1 for i in range(lists)]
-    query_chunks = max(1, -(-queries // chunk))  # no list is probed by more than all queries
-    of_list = F.element_at(F.array(*[F.lit(c) for c in row_chunks]), F.col("list") + 1)
-    hashed = lambda x: F.pmod(F.xxhash64("vec_id", F.lit("chunk")), x).cast("int")
-    left = wanted.withColumns({"qc": hashed(F.lit(query_chunks)), "rc": F.explode(F.sequence(F.lit(0), of_list - 1))})
-    right = indexed.select("vec_id", "v", "list").withColumns({"rc": hashed(of_list), "qc": F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1)))})
+            for a in range(0, len(pdf), 1024):
+                part = pdf.iloc[a : a + 1024]
+                x = np.stack(part["v"].to_numpy()) @ t
+                near = nearest_lists(x, c, probes)
+                short = np.flatnonzero(held[near].sum(1) <= k)
+                chosen = list(near)
+                if len(short):
+                    order = nearest_lists(x[short], c, lists)
+                    enough = (held[order].cumsum(1) <= k).sum(1) + 1  # the first that brings k besides the row itself
+                    for i, o, n in zip(short, order, enough):
+                        chosen[i] = o[: max(n, probes)]
+                yield pd.DataFrame({"row": part["row"], "vec_id": part["vec_id"], "v": part["v"], "list": chosen}).explode("list").astype({"list": np.int32})
+
+    wanted = cut(indexed.where("q").select("row", "vec_id", "v").mapInPandas(probe, "row long, vec_id long, v array<double>, list int"))
+    asked = {r["list"]: r["n"] for r in wanted.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    parts_of = lambda of: F.element_at(F.array(*[F.lit(max(1, -(-of.get(i, 0) // chunk))) for i in range(lists)]), F.col("list") + 1)
+    row_parts, query_parts = parts_of(counts), parts_of(asked)
+    hashed = lambda x: F.pmod(F.xxhash64("row", F.lit("chunk")), x).cast("int")
+    left = wanted.withColumns({"qc": hashed(query_parts), "rc": F.explode(F.sequence(F.lit(0), row_parts - 1))})
+    # a row is copied only for the parts of the queries that probe its own list
+    right = indexed.where(F.col("list").isin(sorted(asked))).select("row", "vec_id", "v", "list").withColumns({"rc": hashed(row_parts), "qc": F.explode(F.sequence(F.lit(0), query_parts - 1))})
     blocks = [slice(a, min(d, a + block_dims)) for a in range(0, d, block_dims)]
 
     def nearest(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []})
         t, _ = sent.value
         xs = xs.sort_values("vec_id", kind="stable")
-        ids, x = xs["vec_id"].to_numpy(), np.stack(xs["v"].to_numpy())
+        ids, rows_, x = xs["vec_id"].to_numpy(), xs["row"].to_numpy(), np.stack(xs["v"].to_numpy())
         turned = x @ t
         out = []
-        for q_id, q in zip(qs["vec_id"], qs["v"]):
-            at = scan(q @ t, turned, k, ids != q_id, blocks, slack)
+        for q_row, q_id, q in zip(qs["row"], qs["vec_id"], qs["v"]):
+            at = scan(q @ t, turned, k, rows_ != q_row, blocks, slack)
             score = np.sqrt(((x[at] - q) ** 2).sum(1))
             best = np.lexsort((ids[at], score))[:k]
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[at][best], "score": score[best]}))
+            out.append(pd.DataFrame({"query_row": q_row, "query_id": q_id, "row": rows_[at][best], "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out)
 
     by = ["list", "rc", "qc"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, SCHEMA)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -160,10 +171,10 @@ def _probes(indexed: DataFrame, sent, k: int, target: float, lists: int, d: int,
 
     Each partition keeps k candidates a query, so little moves.
     """
-    picked = indexed.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
+    picked = indexed.where("q").orderBy(F.xxhash64("vec_id"), "row").limit(most).collect()
     if not picked:
         return 1
-    ids, q = np.array([r["vec_id"] for r in picked]), np.array([r["v"] for r in picked])
+    ids, q = np.array([r["row"] for r in picked]), np.array([r["v"] for r in picked])
     held = indexed.sparkSession.sparkContext.broadcast((ids, q))
 
     def top(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,14 +184,14 @@ def _probes(indexed: DataFrame, sent, k: int, target: float, lists: int, d: int,
             for a in range(0, len(pdf), 8192):
                 x = np.stack(pdf["v"][a : a + 8192].to_numpy())
                 s = (q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)
-                s[ids[:, None] == pdf["vec_id"][a : a + 8192].to_numpy()] = np.inf
+                s[ids[:, None] == pdf["row"][a : a + 8192].to_numpy()] = np.inf
                 s = np.concatenate([best_s, s], axis=1)
                 l = np.concatenate([best_l, np.tile(pdf["list"][a : a + 8192].to_numpy(), (len(q), 1))], axis=1)  # noqa: E741
                 at = np.argpartition(s, k - 1, axis=1)[:, :k]
                 best_s, best_l = np.take_along_axis(s, at, 1), np.take_along_axis(l, at, 1)
         yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), k), "score": best_s.ravel(), "list": best_l.ravel()}).query("list >= 0")
 
-    rows = indexed.select("vec_id", "v", "list").mapInPandas(top, "q int, score double, list int")
+    rows = indexed.select("row", "v", "list").mapInPandas(top, "q int, score double, list int")
     order = Window.partitionBy("q").orderBy("score")
     best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "list").toPandas()
     turn, centres = sent.value

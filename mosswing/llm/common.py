@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; one of its own only on
+    a single machine where it is unset, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mosswing-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -40,14 +43,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_of(name: str = "text") -> Column:
     """A null text is an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -120,26 +120,27 @@ def pack(parts: DataFrame, limit: int = 1024, block_rows: int = 20_000) -> DataF
     """parts (with a column length, 1..limit) with sequence_id and offset; other columns are kept.
 
     The driver sees one count a length. Ranks are taken within (length, block), where a block is a part of the rows
-    chosen by hash, so that a frequent length is never one task; offsets of blocks come from their counts. Rows that
-    repeat are packed each for itself; an empty table gives an empty result.
+    chosen by hash of a number each has of its own, so that neither a frequent length nor rows that repeat are one
+    task; offsets of blocks come from their counts. Only numbers and lengths are ranked: ids and other columns meet
+    their slots after that, spread evenly. An empty table gives an empty result.
     """
     spark = parts.sparkSession
-    parts = cut(parts)
+    parts = cut(parts.withColumn("_piece", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     blocks = max(1, -(-sum(counts.values()) // block_rows))
     plan = plan_best_fit(counts, limit)
     planned = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], PLAN)
-    rows = parts.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    rows = parts.select("_piece", "length", F.pmod(F.xxhash64("_piece"), F.lit(blocks)).alias("_block"))
     key = ["length", "_block"]
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy(*key).orderBy("doc_id", "piece")
+    order = Window.partitionBy(*key).orderBy("_piece")
     ranked = rows.join(sizes, key).withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
     # an interval of ranks for each rank: at most limit^2 / 2 rows in the plan, whatever the table's size
     fits = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))
     slots = planned.withColumnRenamed("length", "_length")
-    out = ranked.join(F.broadcast(slots), fits)
-    return out.select(*parts.columns, (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
+    placed = ranked.join(F.broadcast(slots), fits).select("_piece", (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
+    return parts.join(placed, "_piece").drop("_piece")
 
 
 def best_fit_pack(docs: DataFrame, limit: int = 1024, keep_ids: bool = True) -> DataFrame:

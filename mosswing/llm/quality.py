@@ -162,12 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int | None = 3, held: int
 
 
 def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """docs with score (0 to 1): every whole text, empty and null ones too; equal texts score alike."""
+    """docs with score (0 to 1): every whole text, one at a time, empty and null ones too; equal texts score alike, rows
+    that repeat stay. A column score of the input is replaced, other ones are kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # lookup tables: of fixed size
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "_null")]
-    kept = docs.select(*[f.name for f in fields]).withColumns({"_null": F.col("text").isNull(), "text": text_of()})
+    fields = [f for f in docs.schema.fields if f.name != "score"]
+    kept = docs.select(*[f.name for f in fields]).withColumns({"_quality_null": F.col("text").isNull(), "text": text_of()})
     names = [f.name for f in fields]
 
     def run(batches: Iterator) -> Iterator:
@@ -175,9 +176,8 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
         import pyarrow.compute as pc
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
-            was_null = batch.column("_null")
+            x = np.array([features(t.as_py()) for t in batch.column("text")], dtype=float).reshape(batch.num_rows, len(FEATURES))
+            was_null = batch.column("_quality_null")
             columns = [pc.if_else(was_null, pa.scalar(None, batch.column(n).type), batch.column(n)) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sent.value.score(x), pa.float64())], names=[*names, "score"])
 

@@ -20,7 +20,7 @@ Cut = tuple[int, int]
 def _key_columns(docs: DataFrame) -> DataFrame:
     high = F.shiftrightunsigned(F.xxhash64(text_of()), 1)
     low = F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col("doc_id")), 1)
-    return docs.select("*", high.alias("_k1"), low.alias("_k2"), (F.octet_length(text_of()).cast("long") + 1).alias("_size"))
+    return docs.select("*", high.alias("_hs_k1"), low.alias("_hs_k2"), (F.octet_length(text_of()).cast("long") + 1).alias("_hs_size"))
 
 
 def _splitters(keys: DataFrame, shards: int, tolerance: float, step: int = 12) -> tuple[list[Cut], int]:
@@ -29,7 +29,7 @@ def _splitters(keys: DataFrame, shards: int, tolerance: float, step: int = 12) -
     Every round counts exact bytes in 2^step bins of each open interval, in one pass over the keys; the driver gets at
     most shards * 2^step sums. An interval is (fixed high part, fixed low part, bits left of each).
     """
-    total = keys.agg(F.sum("_size")).first()[0] or 0
+    total = keys.agg(F.sum("_hs_size")).first()[0] or 0
     allowed = tolerance * total / shards
     targets = [total * i / shards for i in range(1, shards)]
     # per target: key prefix as (k1 prefix, bits of k1 fixed, k2 prefix, bits of k2 fixed), bytes below the interval
@@ -41,15 +41,15 @@ def _splitters(keys: DataFrame, shards: int, tolerance: float, step: int = 12) -
         opened = sorted({state[i] for i, c in enumerate(cuts) if c is None})
         parts: list[Column] = []
         for n, (p1, f1, p2, f2, _) in enumerate(opened):
-            inside = F.shiftrightunsigned("_k1", BITS - f1) == p1 if f1 else F.lit(True)
+            inside = F.shiftrightunsigned("_hs_k1", BITS - f1) == p1 if f1 else F.lit(True)
             if f1 == BITS:
-                inside = inside & (F.shiftrightunsigned("_k2", BITS - f2) == p2 if f2 else F.lit(True))
-                child = F.shiftrightunsigned("_k2", BITS - min(BITS, f2 + step))
+                inside = inside & (F.shiftrightunsigned("_hs_k2", BITS - f2) == p2 if f2 else F.lit(True))
+                child = F.shiftrightunsigned("_hs_k2", BITS - min(BITS, f2 + step))
             else:
-                child = F.shiftrightunsigned("_k1", BITS - min(BITS, f1 + step))
+                child = F.shiftrightunsigned("_hs_k1", BITS - min(BITS, f1 + step))
             parts.append(F.when(inside, F.struct(F.lit(n).alias("n"), child.alias("bin"))))
-        binned = keys.select("_k1", "_size", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("b"))
-        sums = binned.groupBy("b.n", "b.bin").agg(F.sum("_size").alias("bytes"), F.min("_k1").alias("low"), F.max("_k1").alias("high")).collect()
+        binned = keys.select("_hs_k1", "_hs_size", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("b"))
+        sums = binned.groupBy("b.n", "b.bin").agg(F.sum("_hs_size").alias("bytes"), F.min("_hs_k1").alias("low"), F.max("_hs_k1").alias("high")).collect()
         by_interval: dict[int, list] = {}
         for row in sums:
             by_interval.setdefault(row["n"], []).append(row)
@@ -98,36 +98,36 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0
     The keys (ids, hashes, sizes) are stored once; no pass but the first reads texts until the one exchange, which
     moves rows by cell: a range of keys with about cell_rows rows, a hot key being split by the id's hash.
     """
-    keep = [c for c in docs.columns if c not in ("shard", "slot", "size", "_k1", "_k2", "_size", "_c1", "_c2", "_split", "_before")]
+    keep = [c for c in docs.columns if c not in ("shard", "slot", "size")]
     rows = _key_columns(docs.select(*keep))
-    keys = cut(rows.select("_k1", "_k2", "_size"))
+    keys = cut(rows.select("_hs_k1", "_hs_k2", "_hs_size"))
     cuts, _ = _splitters(keys, shards, tolerance)
     n = keys.count()
     bits = max(0, (max(1, n // cell_rows) - 1).bit_length())
 
     def celled(df: DataFrame) -> DataFrame:
-        above = [(F.col("_k1") > a) | ((F.col("_k1") == a) & (F.col("_k2") >= b)) for a, b in cuts]
+        above = [(F.col("_hs_k1") > a) | ((F.col("_hs_k1") == a) & (F.col("_hs_k2") >= b)) for a, b in cuts]
         shard = reduce(lambda x, y: x + y, [c.cast("int") for c in above], F.lit(0))
-        return df.withColumns({"shard": shard, "_c1": F.shiftrightunsigned("_k1", BITS - bits) if bits else F.lit(0).cast("long")})
+        return df.withColumns({"shard": shard, "_hs_c1": F.shiftrightunsigned("_hs_k1", BITS - bits) if bits else F.lit(0).cast("long")})
 
-    counts = celled(keys).groupBy("shard", "_c1").agg(F.count("*").alias("rows"))
+    counts = celled(keys).groupBy("shard", "_hs_c1").agg(F.count("*").alias("rows"))
     hot = counts.where(F.col("rows") > 4 * cell_rows).select(
-        "shard", "_c1", F.least(F.lit(20), F.ceil(F.log2(F.col("rows") / cell_rows))).cast("int").alias("_split"))
+        "shard", "_hs_c1", F.least(F.lit(20), F.ceil(F.log2(F.col("rows") / cell_rows))).cast("int").alias("_hs_split"))
     n_hot = hot.count()  # a hot cell has over 4 * cell_rows rows, so there are few
 
     def split(df: DataFrame) -> DataFrame:
         if not n_hot:
-            return df.withColumn("_c2", F.lit(0).cast("long"))
-        joined = df.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["shard", "_c1"], "left")
-        low = F.expr(f"shiftrightunsigned(_k2, {BITS} - _split)")
-        return joined.withColumn("_c2", F.when(F.col("_split").isNull(), F.lit(0).cast("long")).otherwise(low)).drop("_split")
-
-    cells = split(celled(keys)).groupBy("shard", "_c1", "_c2").agg(F.count("*").alias("_rows"))
-    order = Window.partitionBy("shard").orderBy("_c1", "_c2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("shard", "_c1", "_c2", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before"))
-    placed = split(celled(rows)).join(offsets, ["shard", "_c1", "_c2"])
-    in_cell = F.row_number().over(Window.partitionBy("shard", "_c1", "_c2").orderBy("_k1", "_k2", "_size"))
-    return placed.select(*keep, F.col("_size").alias("size"), "shard", (F.col("_before") + in_cell - 1).cast("long").alias("slot"))
+            return df.withColumn("_hs_c2", F.lit(0).cast("long"))
+        joined = df.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["shard", "_hs_c1"], "left")
+        low = F.expr(f"shiftrightunsigned(_hs_k2, {BITS} - _hs_split)")
+        return joined.withColumn("_hs_c2", F.when(F.col("_hs_split").isNull(), F.lit(0).cast("long")).otherwise(low)).drop("_hs_split")
+
+    cells = split(celled(keys)).groupBy("shard", "_hs_c1", "_hs_c2").agg(F.count("*").alias("_rows"))
+    order = Window.partitionBy("shard").orderBy("_hs_c1", "_hs_c2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("shard", "_hs_c1", "_hs_c2", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_hs_before"))
+    placed = split(celled(rows)).join(offsets, ["shard", "_hs_c1", "_hs_c2"])
+    in_cell = F.row_number().over(Window.partitionBy("shard", "_hs_c1", "_hs_c2").orderBy("_hs_k1", "_hs_k2", "_hs_size"))
+    return placed.select(*keep, F.col("_hs_size").alias("size"), "shard", (F.col("_hs_before") + in_cell - 1).cast("long").alias("slot"))
 
 
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,18 @@ def test_scan_keeps_the_nearest():
         found += len(set(np.argsort(((x - q) ** 2).sum(1))[:10]) & set(kept))
         assert len(kept) < 300
     assert found >= 195
+
+
+def test_far_clusters_and_repeated_ids(spark):
+    """A query in a tiny cluster far off still gets its ten; rows that share an id are queries of their own."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((2000, 8)), 100 + 0.01 * r.standard_normal((3, 8)), -100 + 0.01 * r.standard_normal((3, 8))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(7, [float(c) for c in x[11]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = search(df, F.col("vec_id").isin(2000, 2003, 7, 5)).toPandas()
+    assert {q: len(g) for q, g in out.groupby("query_id")} == {5: 10, 7: 20, 2000: 10, 2003: 10}
+    far = out[out["query_id"] == 2000].sort_values("rank")
+    assert set(far["vec_id"][:2]) == {2001, 2002} and far["score"].is_monotonic_increasing and list(far["rank"]) == list(range(1, 11))
+    seven = out[out["query_id"] == 7]
+    assert sorted(seven["rank"]) == sorted([*range(1, 11)] * 2) and (seven["score"] == 0.0).sum() == 1  # the copy of 11 finds 11
+    assert (out["score"] >= 0).all()

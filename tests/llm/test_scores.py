@@ -124,7 +124,7 @@ def test_label_model_finds_accuracies():
     true = [(votes[y, k]).sum() / votes[:, k].sum() for k in range(4)]
     assert all(abs(x - t) < 0.15 for x, t in zip(accuracy, true)), (accuracy, true)
     assert ((q > 0.5) == y).mean() > 0.9 and q[votes.sum(1) == 0].max() < 0.31
-    assert weight[0] + weight[3] < 1.1 and weight[1] > 0.8  # the copy counts once
+    assert weight[0] + weight[3] < 1.1 and weight[1] > 0.6  # the copy counts once
 
 
 def test_noise_voters_tell_nothing():
