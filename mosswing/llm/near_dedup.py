@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,6 @@ WORDS = re.compile(r"[^\W_]+")
 K = 5
 SKETCHES = 32
 SIMILAR = 0.8
-AGREE = 1
 PIVOTS = 4
 BLOCK_ROWS = 2000
 BINS = 128
@@ -110,7 +108,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """a < b: neighbours, and rows beside the first, among representatives that share a sketch.
+    """a < b, agree: neighbours, and rows beside the first, among representatives that share a sketch; in how many they are.
 
     A bucket is sorted by the sketches that follow, so those that share most are neighbours in one of its rotations.
     Rows are ranged over tasks by the whole sort key: a bucket of any size is split, and the ends are linked after.
@@ -142,15 +140,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     linked = cut(rows.mapInPandas(link, "h long, j int, a long, b long"))
     ends = linked.where("j >= 0").groupBy("h", "j").agg(F.array_sort(F.collect_set("a")).alias("r")).where(F.size("r") > 1)  # two rows a task
     across = ends.select(F.explode(F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("a"), F.slice("r", 2, F.size("r") - 1).alias("b"))).alias("x"))
-    return linked.where("j < 0").select("a", "b").union(across.select("x.a", "x.b")).where("a <> b").distinct()
-
-
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs with the share of sketches in which they agree, at least AGREE of them."""
-    short = reps.select("rep", F.transform("s", lambda x: F.shiftright(x, 32).cast("int")).alias("s"))
-    both = pairs.join(short.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(short.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    same = reduce(lambda x, y: x + y, [(F.col("sa")[i] == F.col("sb")[i]).cast("int") for i in range(SKETCHES)])
-    return both.select("a", "b", same.alias("agree")).where(F.col("agree") >= AGREE)
+    return linked.where("j < 0").select("a", "b").union(across.select("x.a", "x.b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("agree"))
 
 
 def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -200,10 +190,10 @@ def _contested(reps: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
 
     Two texts alike are in the same or neighbouring cells; a row visits the next cell, where it meets those at home.
     """
-    classed = reps.join(roots, reps.rep == roots.node, "left").select("rep", "s", "n", F.coalesce("root", "rep").alias("class"))
+    classed = reps.join(_few(roots), reps.rep == F.col("node"), "left").select("rep", "s", "n", F.coalesce("root", "rep").alias("class"))
     rows = classed.select(F.explode(F.transform("s", lambda h, j: F.xxhash64(h, j))).alias("bucket"), "rep", "n", "class")
     several = lambda by: rows.groupBy(*by).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*by)
-    rows = rows.join(several(["bucket"]), "bucket")
+    rows = rows.join(_few(cut(several(["bucket"]))), "bucket")
     cell = F.floor(F.log(F.col("n")) / -np.log(similar) + 1e-9)
     both = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("home")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("home"))))
     return cut(rows.withColumn("c", both).select("bucket", "c.cell", "c.home", "rep", "n"))
@@ -254,10 +244,10 @@ def _meeting(rows: DataFrame, roots: DataFrame, shapes: DataFrame, similar: floa
     Of one pair of classes a block gives its `width` likeliest pairs. A block is a pair of parts of a cell, so that a
     hot bucket is spread over tasks whose rows are bounded.
     """
-    classed = rows.join(roots, rows.rep == roots.node, "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
+    classed = rows.join(_few(roots), rows.rep == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
     sizes = classed.groupBy("bucket", "cell").agg(F.count("*").alias("size"), F.count_if("home").alias("homes"), F.min("class").alias("low"), F.max("class").alias("high"))
     sizes = sizes.where("low <> high and homes > 0").select("bucket", "cell", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts"))
-    placed = classed.join(sizes, ["bucket", "cell"]).join(shapes, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = classed.join(_few(cut(sizes)), ["bucket", "cell"]).join(shapes, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["bucket", "cell", "p", "q"]
     spread = spread.select("bucket", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "rep", "class", "home", "part", "h")
@@ -305,11 +295,11 @@ def _exact(reps: DataFrame, links: DataFrame, words: DataFrame, similar: float)
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots with the classes that further links join; nodes that had no link yet come in."""
     for x in ("a", "b"):
-        of = roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
+        of = _few(roots).select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
         links = links.join(of, x, "left").withColumn(f"{x}r", F.coalesce(f"{x}r", x))
     links = cut(links)
     tops = components(links.select(F.col("ar").alias("a"), F.col("br").alias("b"))).withColumnRenamed("root", "top")
-    known = roots.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    known = roots.join(_few(tops).withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
     return cut(known.union(nodes.join(tops, "node").select("node", "top")))
 
@@ -320,9 +310,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
     while True:
         labels = cut(labels)
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        nearer = labels.join(seen, "node").select("node", F.least("root", "near").alias("up"), F.col("root").alias("was"))
-        jump = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
+        sized = _few(labels)
+        seen = both.join(sized.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        nearer = seen.join(sized, "node").select("node", F.least("root", "near").alias("up"), F.col("root").alias("was"))
+        jump = sized.select(F.col("node").alias("up"), F.col("root").alias("top"))
         new = cut(nearer.join(jump, "up").select("node", F.least("up", "top").alias("root"), "was"))
         if new.where("root <> was").isEmpty():
             return new.select("node", "root")
@@ -336,14 +327,14 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "v", "row")
     reps = cut(slim.groupBy("key").agg(F.min(order).alias("one"), F.min("s").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("rep", F.col("one.row")))
     usable = reps.where(F.col("s").isNotNull())
-    pairs = cut(_agreeing(_candidates(usable), usable))
+    pairs = cut(_candidates(usable))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     words = cut(slim.select(F.col("row").alias("rep"), "w").join(_few(wanted), "rep"))
     strongest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
     best = pairs.withColumn("nth", strongest).where("nth = 1").select("a", "b")
     links = cut(_verified(best, words, similar).select("a", "b"))
     roots = _exact(usable.join(_few(wanted), "rep"), links, words, similar)  # a row in no pair shares no bucket
-    rooted = cut(reps.join(roots, reps.rep == roots.node, "left").select("key", "copies", "one", F.coalesce("root", "rep").alias("root")))
+    rooted = cut(reps.join(_few(roots), reps.rep == F.col("node"), "left").select("key", "copies", "one", F.coalesce("root", "rep").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("one").alias("first"))
     classes = rooted.join(firsts, "root").select("key", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first"))
     return slim.select("row", "doc_id", "v", "key"), cut(classes)
