@@ -150,10 +150,7 @@ def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def _verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """a, b, edits of the pairs whose words align with a similarity of at least `similar`."""
-    pairs = cut(pairs)
-    left = words.select(F.col("rep").alias("a"), F.col("w").alias("wa")).join(_few(pairs), "a")
-    right = words.select(F.col("rep").alias("b"), F.col("w").alias("wb")).join(_few(cut(pairs.select("b").distinct())), "b")
-    joined = left.join(right, "b")
+    joined = pairs.join(words.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
     n = F.greatest(F.length("wa"), F.length("wb"))
     joined = joined.where(F.least(F.length("wa"), F.length("wb")) >= similar * n)
 
@@ -332,7 +329,7 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     strongest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
     best = pairs.withColumn("nth", strongest).where("nth = 1").select("a", "b")
     links = cut(_verified(best, words, similar).select("a", "b"))
-    roots = _exact(usable.join(_few(wanted), "rep"), links, words, similar)  # a row in no pair shares no bucket
+    roots = _exact(usable.join(wanted, "rep"), links, words, similar)  # a row in no pair shares no bucket
     rooted = cut(reps.join(roots, reps.rep == roots.node, "left").select("key", "copies", "one", F.coalesce("root", "rep").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("one").alias("first"))
     classes = rooted.join(firsts, "root").select("key", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first"))
