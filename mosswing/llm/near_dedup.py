@@ -2,7 +2,8 @@
 
 Sketches that agree make candidates; a banded alignment of the words verifies them; classes are the connected
 components of the verified links. Neighbours in a bucket of equal sketches give first classes; then all pairs of a
-bucket that are still in different classes are verified.
+bucket that are still in different classes are verified. Rows of crowded buckets (a passage that many texts share) meet
+by their rarest word pairs instead, of which texts alike must share some: the work follows the rows, not their square.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ SIMILAR = 0.8
 PIVOTS = 4
 BLOCK_ROWS = 2000
 BINS = 128
+CROWDED = 1000
+SHARED = 3
+ONE_TASK = 2_000_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=SKETCHES, dtype=np.uint64)[:, None] | np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -182,18 +186,120 @@ def _histograms(words: DataFrame) -> DataFrame:
     return words.mapInPandas(run, "rep long, h binary")
 
 
-def _contested(reps: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """bucket, cell, home, rep, n: rows of buckets that hold several classes, by the logarithm of their length.
+def _contested(reps: DataFrame, roots: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(bucket, cell, home, rep, n: rows of buckets that hold several classes, by the logarithm of their length; rep of crowded ones).
 
-    Two texts alike are in the same or neighbouring cells; a row visits the next cell, where it meets those at home.
+    Two texts alike are in the same or neighbouring cells; a row visits the next cell, where it meets those at home. A
+    text so short that one like it may share no word pair stays in its crowded buckets too.
     """
     classed = reps.join(roots, reps.rep == roots.node, "left").select("rep", "s", "n", F.coalesce("root", "rep").alias("class"))
     rows = classed.select(F.explode(F.transform("s", lambda h, j: F.xxhash64(h, j))).alias("bucket"), "rep", "n", "class")
-    several = lambda by: rows.groupBy(*by).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*by)
-    rows = rows.join(several(["bucket"]), "bucket")
+    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high").select("bucket", "rows")
+    rows = cut(rows.join(several, "bucket").select("bucket", "rep", "n", "rows"))
+    crowded = cut(rows.where(F.col("rows") > CROWDED).select("rep").distinct())
     cell = F.floor(F.log(F.col("n")) / -np.log(similar) + 1e-9)
     both = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("home")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("home"))))
-    return cut(rows.withColumn("c", both).select("bucket", "c.cell", "c.home", "rep", "n"))
+    few = rows.where((F.col("rows") <= CROWDED) | (_least_shared(F.col("n"), similar) < 1))
+    return few.withColumn("c", both).select("bucket", "c.cell", "c.home", "rep", "n"), crowded
+
+
+def _least_shared(n, similar: float):
+    """How many word pairs, at least, a text of n words shares with any like it that is not shorter; n: numbers or a column.
+
+    Of m - 1 pairs of neighbouring words each of the (1 - similar) * m edits changes two at most; m >= n.
+    """
+    return (2 * similar - 1) * n - 1 + 0.999
+
+
+def word_pairs(w: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of neighbouring words, told apart by their occurrence."""
+    with np.errstate(over="ignore"):
+        w = w.astype(np.uint64)
+        g = (w[:-1] * _MIX ^ (w[:-1] >> np.uint64(7))) * _STEP + w[1:]
+        g = (g ^ (g >> np.uint64(31))) * _MIX
+        order = np.argsort(g, kind="stable")
+        s = g[order]
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+        occurrence = np.empty(len(g), dtype=np.uint64)
+        occurrence[order] = np.arange(len(g)) - np.repeat(starts, np.diff(np.append(starts, len(g))))
+        g = g + occurrence * _STEP
+        return ((g ^ (g >> np.uint64(29))) * _MIX).view(np.int64)
+
+
+def _frequent(words: DataFrame, rows: int, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(word pairs in order, how often they occur) of the most frequent ones in a sample: they only order pairs."""
+    every = max(1, rows // sample)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"g": np.concatenate([np.zeros(0, np.int64), *(word_pairs(np.frombuffer(w, dtype=np.uint32)) for w in pdf["w"])])})
+
+    some = words.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(every)) == 0).select("w").mapInPandas(run, "g long")
+    counts = cut(some.groupBy("g").agg(F.count("*").cast("int").alias("times")).where("times > 2"))
+    least, found = 2**31, 0
+    for times, pairs in sorted(map(tuple, counts.groupBy(F.least("times", F.lit(1000)).alias("t")).count().collect()), reverse=True):
+        found += pairs
+        if found > most:
+            break
+        least = times
+    found = counts.where(F.col("times") >= F.lit(least)).toArrow()
+    g, times = found["g"].to_numpy(), found["times"].to_numpy()
+    order = np.argsort(g)
+    return g[order], times[order]
+
+
+def _sharing(crowded: DataFrame, roots: DataFrame, words: DataFrame, similar: float) -> DataFrame:
+    """a, b, shared: pairs of crowded rows in different classes that share the word pairs that texts alike must share.
+
+    Word pairs have one order for all texts, rare ones first. If texts share t of N, then the first k they share are
+    among the first N - t + k of each, so only those are joined; k is t in a short text, and grows with N as
+    unlike texts share more by chance.
+    """
+    rows = crowded.count()
+    if not rows:
+        return crowded.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).cast("long").alias("shared"))
+    mine = cut(words.join(F.broadcast(crowded) if rows <= 1_000_000 else crowded, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "w", F.coalesce("root", "rep").alias("class")))
+    often, times = _frequent(mine, rows)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for rep, cls, w in zip(pdf["rep"], pdf["class"], pdf["w"]):
+                g = word_pairs(np.frombuffer(w, dtype=np.uint32))
+                least = max(0, int(_least_shared(len(g) + 1, similar)))
+                need = max(1, min(SHARED + len(g) // 16, least))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                    g = g[np.lexsort((g, np.where(often[at] == g, times[at], 0)))]
+                else:
+                    g = np.sort(g)
+                g = g[: max(0, len(g) - least + need)]
+                out.append((g, np.full(len(g), rep), np.full(len(g), cls), np.full(len(g), len(w) // 4), np.full(len(g), need)))
+            if out:
+                yield pd.DataFrame(dict(zip(("g", "rep", "class", "n", "need"), map(np.concatenate, zip(*out)))))
+
+    same = Window.partitionBy("g", "class")
+    parted = mine.mapInPandas(first, "g long, rep long, class long, n int, need int").repartition("g").withColumn("same", F.count("*").over(same))
+    whole = Window.partitionBy("g")
+    top = F.max(F.struct("same", "class")).over(whole)
+    met = parted.withColumns({"top": top, "size": F.count("*").over(whole)}).where("size > top.same")
+    met = cut(met.select("g", "rep", "class", "n", "need", F.col("top.class").alias("top"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")))
+    # of two classes one at least is not the largest there; a large group's rows are spread over tasks
+    x = met.where("class <> top").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part", *[F.col(c).alias(f"{c}_y") for c in ("rep", "class", "n", "need", "top")])
+    once = (F.col("class") != F.col("class_y")) & ((F.col("class_y") == F.col("top_y")) | (F.col("rep") < F.col("rep_y")))
+    alike = F.least("n", "n_y") >= similar * F.greatest("n", "n_y") - 1e-9
+    pairs = x.drop("parts", "top").join(y, ["g", "part"]).where(once & alike).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"), F.least("need", "need_y").alias("need"))
+    return cut(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b", "shared"))
+
+
+def _likeliest(near: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """a, b: of every two classes the `width` pairs that share most; a row (-1, -1) where some are left out."""
+    for x in ("a", "b"):
+        near = near.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r")), x, "left").withColumn(f"{x}r", F.coalesce(f"{x}r", x))
+    order = Window.partitionBy(F.least("ar", "br"), F.greatest("ar", "br")).orderBy(F.desc("shared"), "a", "b")
+    ranked = near.where("ar <> br").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= width + 1)
+    return ranked.select(*[F.when(F.col("nth") <= width, F.col(x)).otherwise(-1).alias(x) for x in ("a", "b")])
 
 
 def _runs(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -266,22 +372,25 @@ def _meeting(rows: DataFrame, roots: DataFrame, shapes: DataFrame, similar: floa
                     a, b = np.r_[a[nth < width], -1], np.r_[b[nth < width], -1]
             yield pd.DataFrame({"a": a, "b": b})
 
-    return spread.repartition(*by).sortWithinPartitions(*by, "n", "rep").mapInPandas(meet, "a long, b long").distinct()
+    return spread.repartition(*by).sortWithinPartitions(*by, "n", "rep").mapInPandas(meet, "a long, b long")
 
 
 def _exact(reps: DataFrame, links: DataFrame, words: DataFrame, similar: float) -> DataFrame:
-    """node, root of the components once no pair that shares a bucket and is in two classes is unverified.
+    """node, root of the components once no pair that shares a bucket and is in two classes may be alike and is unverified.
 
     Each round verifies the likeliest pairs of every two classes that meet, then merges classes; the last one leaves
     none out.
     """
     roots = components(links)
-    rows = _contested(reps, roots, similar)
+    rows, crowded = _contested(reps, roots, similar)
+    near = _sharing(crowded, roots, words, similar)
     shapes = cut(_histograms(words.join(_few(cut(rows.select("rep").distinct())), "rep")))
     width = PIVOTS
     while True:
-        found = cut(_meeting(rows, roots, shapes, similar, width))
-        linked = cut(_verified(found.where("a >= 0"), words, similar).select("a", "b"))
+        found = cut(_meeting(rows, roots, shapes, similar, width).union(_likeliest(near, roots, 16 * width)).distinct())
+        pairs = found.where("a >= 0")
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())  # few of all: spares shuffles of words
+        linked = cut(_verified(pairs, words.join(_few(wanted), "rep"), similar).select("a", "b"))
         if not linked.isEmpty():
             roots = _merged(roots, linked)
         if found.where("a < 0").isEmpty():
@@ -301,9 +410,29 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.union(nodes.join(tops, "node").select("node", "top")))
 
 
+def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    links = [pdf.to_numpy(dtype=np.int64) for pdf in frames if len(pdf)]
+    if links:
+        nodes, at = np.unique(np.concatenate(links), return_inverse=True)  # sorted: the least place is the least node
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            for x in (a, b):
+                np.minimum.at(root, root[x], low)
+            while (root != root[root]).any():
+                root = root[root]
+        yield pd.DataFrame({"node": nodes, "root": nodes[root]})
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the least node of its component), by spreading least labels and halving paths; links: a, b."""
+    """node, root (the least node of its component), by spreading least labels and halving paths; links: a, b.
+
+    Up to ONE_TASK rows of two numbers are one task on an executor: rounds of shuffles would load the driver more.
+    """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.count() <= ONE_TASK:
+        return cut(both.where("a <= b").coalesce(1).mapInPandas(_components, "node long, root long"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
     while True:
         labels = cut(labels)
@@ -340,7 +469,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), copies (rows with the same words), kept.
 
     Two documents are linked if their words are the same, or align with at most (1 - similar) of the longer one's
-    words edited, and at least one of their sketches agrees; classes are the links' components. Texts without words,
+    words edited, and at least one of their sketches agrees or both are in crowded buckets; classes are the links' components. Texts without words,
     null ones too, are alike only if equal (null: empty). A class keeps exactly one row: that of its least doc_id (of
     rows that share an id, any one by text hash). Rows are told apart by themselves, not by their ids: repeated rows are
     copies, rows that share an id are judged by their own texts, and rows with a null doc_id are kept only where

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from llm_data import edited, prose
 
+from mosswing.llm import near_dedup
 from mosswing.llm.alignment import band_distance, whole_distance
 from mosswing.llm.near_dedup import components, near_duplicates, sketch, word_list
 
@@ -92,3 +94,45 @@ def test_star_of_a_large_bucket(spark):
     assert len(meet) > 0.8 * n
     got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {got[i] for i in meet} == {got[n // 2]}
+
+
+def test_a_passage_of_many_texts_is_not_compared_by_pairs(spark, monkeypatch):
+    """Long texts that share a passage: lengths and word counts rule none out, and only copies are to be aligned."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 10, raising=False)
+    counted, whole = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: counted.append(pairs.count()) or whole(pairs, *rest))
+    passage, rows = prose(1, 150), []
+    for i in range(160):
+        rows.append((i, prose(100 + i, 350) + " " + passage + " " + prose(900 + i, 350)))
+    rows += [(1000 + i, edited(rows[i][1], i, 40)) for i in range(0, 160, 4)]
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert sum(counted) < 5 * len(rows), counted
+
+
+def test_crowded_rows_against_all_pairs(spark):
+    r, rows, shared = random.Random(4), [], prose(9, 12).split()
+    for g in range(40):
+        base = [*shared[: r.randrange(13)], *(r.choice("abcdefghij") * r.randrange(1, 3) for _ in range(r.randrange(1, 40)))]
+        rows += [word_list(edited(" ".join(base), 10 * g + k, k * len(base) // 20)) for k in range(6)]
+    ids = [near_dedup._hashes[w] & 0xFFFFFFFF for words in rows for w in words]
+    parts = np.split(np.array(ids, dtype=np.uint32), np.cumsum([len(x) for x in rows])[:-1])
+    words = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(parts)], "rep long, w binary")
+    for similar in (0.8, 0.7):
+        got = {(x["a"], x["b"]) for x in near_dedup._sharing(words.select("rep"), spark.createDataFrame([], "node long, root long"), words, similar).collect()}
+        links = 0
+        for i, a in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                n = max(len(a), len(rows[j]))
+                if near_dedup._least_shared(n, similar) >= 1 and band_distance(a, rows[j], int((1 - similar) * n + 1e-9)) is not None:
+                    links += 1
+                    assert (i, j) in got, (a, rows[j])
+        assert links > 300
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    r = random.Random(6)
+    links = spark.createDataFrame([(r.randrange(3000), r.randrange(3000)) for _ in range(1400)], "a long, b long")
+    one = {x["node"]: x["root"] for x in components(links).collect()}
+    monkeypatch.setattr(near_dedup, "ONE_TASK", 0)
+    assert one == {x["node"]: x["root"] for x in components(links).collect()} and len(set(one.values())) > 100
