@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, text_of
+from .common import cut, slices, stored, table, text_of
 
 END = 2
 TOKENIZER = "byte_bpe_50k"
-PLAN = "length int, low long, high long, first long, offset long"
+PLAN = "length long, low long, high long, first long, offset long"
+BROADCAST = 4_000_000
+
+_OTHER = re.compile("[ɐ-\U0010ffff]|<\\|")
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,14 +49,15 @@ def _encoders(json_path: str, ranks_path: str):
 
 def _plain(text: str) -> bool:
     """Letters up to Latin Extended-B and no special token: there both libraries split words alike, in any version."""
-    return (text.isascii() or max(text) < "ɐ") and "<|" not in text
+    return "<|" not in text if text.isascii() else not _OTHER.search(text)
 
 
 def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """The ids of a whole text, then END."""
     exact, fast = _encoders(json_path, ranks_path)
     ids = fast.encode_ordinary(text) if _plain(text) else exact.encode(text, add_special_tokens=False).ids
-    return np.array([*ids, END], dtype="<u4")
+    ids.append(END)
+    return np.frombuffer(array("I", ids), dtype=np.uint32).astype("<u4", copy=False)
 
 
 def piece_starts(length: int, limit: int) -> list[int]:
@@ -59,18 +67,23 @@ def piece_starts(length: int, limit: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, limit: int, keep_ids: bool = False, name: str = TOKENIZER) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every document; a null text is empty and has one id."""
+    """doc_id, piece, start, length, ids_crc32 (and ids) of every document; a null text is empty and has one id.
+
+    _task and _nth: the task that cut a piece, and how many of its length that task cut before.
+    """
     paths = tokenizer_path(f"{name}.json"), tokenizer_path(f"{name}.tiktoken")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _nth long" + ", ids array<int>" * keep_ids
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, seen = TaskContext.get().partitionId(), Counter()
         for pdf in slices(frames):
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = token_ids(text, *paths)
                 for k, start in enumerate(starts := piece_starts(len(ids), limit)):
                     part = ids[start : starts[k + 1] if k + 1 < len(starts) else None]
-                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * keep_ids))
+                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)], *[part.astype(np.int32)] * keep_ids))
+                    seen[len(part)] += 1
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
             yield frame.astype({"doc_id": "Int64"})
 
@@ -116,31 +129,32 @@ def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, in
     return plan
 
 
-def pack(parts: DataFrame, limit: int = 1024, block_rows: int = 20_000) -> DataFrame:
-    """parts (with a column length, 1..limit) with sequence_id and offset; other columns are kept.
+def pack(parts: DataFrame, limit: int = 1024) -> DataFrame:
+    """parts, as from pieces (length: 1..limit), with sequence_id and offset; other columns are kept.
 
-    The driver sees one count a length. Ranks are taken within (length, block), where a block is a part of the rows
-    chosen by hash of a number each has of its own, so that neither a frequent length nor rows that repeat are one
-    task; offsets of blocks come from their counts. Only numbers and lengths are ranked: ids and other columns meet
-    their slots after that, spread evenly. An empty table gives an empty result.
+    The driver sees one count a length. A piece's rank within its length is its number within (length, task) after
+    those of the tasks before, so no piece is ranked by a shuffle: ids stay where they were stored, and meet small
+    tables of numbers. The counts of (length, task) are broadcast while they are at most BROADCAST; beyond, pieces
+    are shuffled to them. An empty table gives an empty result.
     """
     spark = parts.sparkSession
-    parts = cut(parts.withColumn("_piece", F.monotonically_increasing_id()))
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    blocks = max(1, -(-sum(counts.values()) // block_rows))
+    parts = stored(parts, "pieces")
+    sizes = cut(parts.groupBy("length", "_task").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_best_fit(counts, limit)
     planned = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], PLAN)
-    rows = parts.select("_piece", "length", F.pmod(F.xxhash64("_piece"), F.lit(blocks)).alias("_block"))
-    key = ["length", "_block"]
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy(*key).orderBy("_piece")
-    ranked = rows.join(sizes, key).withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    if sizes.count() <= BROADCAST:
+        of_task = starts.groupBy("_task").agg(F.map_from_entries(F.collect_list(F.struct("length", "_before"))).alias("_starts"))
+        ranked = parts.join(F.broadcast(of_task), "_task").withColumn("_rank", F.col("_nth") + F.col("_starts")[F.col("length")]).drop("_starts")
+    else:
+        ranked = parts.join(starts, ["length", "_task"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
     # an interval of ranks for each rank: at most limit^2 / 2 rows in the plan, whatever the table's size
     fits = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))
-    slots = planned.withColumnRenamed("length", "_length")
-    placed = ranked.join(F.broadcast(slots), fits).select("_piece", (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
-    return parts.join(placed, "_piece").drop("_piece")
+    placed = ranked.join(F.broadcast(planned.withColumnRenamed("length", "_length")), fits)
+    kept = [c for c in parts.columns if c not in ("_task", "_nth")]
+    return placed.select(*kept, (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
 def best_fit_pack(docs: DataFrame, limit: int = 1024, keep_ids: bool = True) -> DataFrame:

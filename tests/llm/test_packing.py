@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from tokenizers import Tokenizer
 
+from mosswing.llm import packing
 from mosswing.llm.packing import best_fit_pack, piece_starts, plan_best_fit, token_ids, tokenizer_path
 
 PATHS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
@@ -88,3 +89,23 @@ def test_plan_is_best_fit():
 def test_plan_does_not_grow_with_counts():
     counts = {n: 10**9 + n for n in range(1, 1025)}
     assert len(plan_best_fit(counts, 1024)) < 20_000 and np.isfinite(len(counts))
+
+
+def test_ids_stay_where_they_were_stored(spark, docs, monkeypatch):
+    few = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = docs.repartition(7).cache()
+        out = best_fit_pack(spread, 64)
+        moves = [line for line in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("\n") if "SortMergeJoin" in line]
+        assert not moves
+        rows = out.collect()
+        monkeypatch.setattr(packing, "BROADCAST", 0)
+        shuffled = best_fit_pack(spread, 64).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", few)
+    sequences = check(rows, 64)
+    assert check(shuffled, 64) == sequences
+    assert Counter(tuple(r["ids"]) for r in rows) == Counter(tuple(r["ids"]) for r in shuffled)
+    plan = plan_best_fit(Counter(r["length"] for r in rows), 64)
+    assert sequences == max(first + high - low for _, low, high, first, _ in plan)
