@@ -8,21 +8,21 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored, table, text_of
+from .common import cut, stored, table, text_of
 
 END = 2
 TOKENIZER = "byte_bpe_50k"
-PLAN = "length long, low long, high long, first long, offset long"
+PLAN = ["length", "low", "high", "first", "offset"]
 BROADCAST = 4_000_000
+IDS = 1_000_000
 
 _OTHER = re.compile("[ɐ-\U0010ffff]|<\\|")
 
@@ -74,20 +74,44 @@ def pieces(docs: DataFrame, limit: int, keep_ids: bool = False, name: str = TOKE
     paths = tokenizer_path(f"{name}.json"), tokenizer_path(f"{name}.tiktoken")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _nth long" + ", ids array<int>" * keep_ids
 
-    def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, seen = TaskContext.get().partitionId(), Counter()
-        for pdf in slices(frames):
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = token_ids(text, *paths)
-                for k, start in enumerate(starts := piece_starts(len(ids), limit)):
-                    part = ids[start : starts[k + 1] if k + 1 < len(starts) else None]
-                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)], *[part.astype(np.int32)] * keep_ids))
-                    seen[len(part)] += 1
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(cut_up, schema)
+    def cut_up(batches: Iterator) -> Iterator:
+        task = TaskContext.get().partitionId()
+        rows = ((doc, text.as_py()) for batch in batches for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")))
+        return piece_batches(((doc, token_ids(text, *paths)) for doc, text in rows), limit, task, keep_ids)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut_up, schema)
+
+
+def piece_batches(docs: Iterable[tuple[int | None, np.ndarray]], limit: int, task: int, keep_ids: bool, most: int = IDS) -> Iterator:
+    """Arrow batches of the pieces of (doc_id, its ids), each of at most `most` ids and one piece, also within a document."""
+    import pyarrow as pa
+
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "_task": pa.int32(), "_nth": pa.int64()}
+    seen: Counter = Counter()
+    rows: list[tuple] = []
+    held: list[np.ndarray] = []
+    many = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())]
+        if keep_ids:
+            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=[*kinds, *["ids"] * keep_ids])
+
+    for doc, ids in docs:
+        for k, start in enumerate(starts := piece_starts(len(ids), limit)):
+            part = ids[start : starts[k + 1] if k + 1 < len(starts) else None]
+            rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
+            seen[len(part)] += 1
+            many += len(part)
+            if keep_ids:
+                held.append(part)
+            if many >= most:
+                yield batch()
+                rows, held, many = [], [], 0
+    if rows:
+        yield batch()
 
 
 def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
@@ -129,6 +153,14 @@ def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, in
     return plan
 
 
+def plan_table(spark: SparkSession, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The plan as rows that the JVM holds: from a list of tuples, Spark would start Python workers on the executors."""
+    import pyarrow as pa
+
+    columns = zip(*(plan or [(0, 0, 0, 0, 0)]))
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=PLAN))
+
+
 def pack(parts: DataFrame, limit: int = 1024) -> DataFrame:
     """parts, as from pieces (length: 1..limit), with sequence_id and offset; other columns are kept.
 
@@ -142,7 +174,7 @@ def pack(parts: DataFrame, limit: int = 1024) -> DataFrame:
     sizes = cut(parts.groupBy("length", "_task").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_best_fit(counts, limit)
-    planned = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], PLAN)
+    planned = plan_table(spark, plan)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     if sizes.count() <= BROADCAST:

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -109,3 +110,22 @@ def test_ids_stay_where_they_were_stored(spark, docs, monkeypatch):
     assert Counter(tuple(r["ids"]) for r in rows) == Counter(tuple(r["ids"]) for r in shuffled)
     plan = plan_best_fit(Counter(r["length"] for r in rows), 64)
     assert sequences == max(first + high - low for _, low, high, first, _ in plan)
+
+
+def test_workers_hold_few_ids_and_plan_needs_none(spark):
+    r = np.random.default_rng(3)
+    docs = [(1, r.integers(0, 50_000, 5000).astype("<u4")), (None, np.array([2], "<u4")), (3, r.integers(0, 50_000, 700).astype("<u4"))]
+    batches = list(packing.piece_batches(iter(docs), 64, 5, True, most=256))
+    assert len(batches) > 20 and all(sum(b.column("length").to_pylist()) < 256 + 64 for b in batches)
+    rows = [x for b in batches for x in b.to_pylist()]
+    for doc, ids in docs:
+        own = [x for x in rows if x["doc_id"] == doc]
+        assert [i for x in own for i in x["ids"]] == ids.tolist() and [x["start"] for x in own] == piece_starts(len(ids), 64)
+        assert all(x["ids_crc32"] == zlib.crc32(np.array(x["ids"], "<u4").tobytes()) and x["length"] == len(x["ids"]) and x["_task"] == 5 for x in own)
+    for n in {x["length"] for x in rows}:
+        assert [x["_nth"] for x in rows if x["length"] == n] == list(range(sum(x["length"] == n for x in rows)))
+    bare = [x for b in packing.piece_batches(iter(docs), 64, 5, False, most=256) for x in b.to_pylist()]
+    assert bare == [{k: v for k, v in x.items() if k != "ids"} for x in rows]
+    assert not list(packing.piece_batches(iter([]), 64, 5, True))
+    shown = packing.plan_table(spark, plan_best_fit({3: 5, 7: 2}, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in shown and "RDD" not in shown
