@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system: Spark's workers outlive their tasks, and what one operator
+    left would add to the next one's needs."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """A null text is an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

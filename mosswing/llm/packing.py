@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table, text_of
+from .common import cut, give_back, stored, table, text_of
 
 END = 2
 TOKENIZER = "byte_bpe_50k"
@@ -75,9 +75,11 @@ def pieces(docs: DataFrame, limit: int, keep_ids: bool = False, name: str = TOKE
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _nth long" + ", ids array<int>" * keep_ids
 
     def cut_up(batches: Iterator) -> Iterator:
+        give_back()
         task = TaskContext.get().partitionId()
         rows = ((doc, text.as_py()) for batch in batches for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")))
-        return piece_batches(((doc, token_ids(text, *paths)) for doc, text in rows), limit, task, keep_ids)
+        yield from piece_batches(((doc, token_ids(text, *paths)) for doc, text in rows), limit, task, keep_ids)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut_up, schema)
 
