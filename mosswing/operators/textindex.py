@@ -9,32 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import tokens
-from .bm25 import B, K1, idf, part, spread
+from .bm25 import B, K1, counted, idf, part, runs, spread
 
 BUCKETS = 32
-BUCKET_ROWS = 200_000
+MARK = 64  # a word's bucket before it, as one character: '@' and what follows
+TASK_WORDS = 1_000_000
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
 
 
-def write(rows: DataFrame, keys: list[str], fields: list[str], path: str, count: int) -> None:
-    """Postings of the text fields: field, bucket (a folder each), term, the keys, tf, len.
+def write(rows: DataFrame, keys: list[str], words: dict[str, int], path: str) -> None:
+    """Postings of the text fields, whose words are given by number: field and bucket (a folder each), term, the keys, tf, len.
 
-    Words are counted before they are shuffled; a bucket is split by document as well, so that a word that is in
-    every document is no single task.
+    A document's words of one bucket are shuffled as one sorted line, counted behind it. A task has some TASK_WORDS
+    words: buckets are split by document as well, so that no word is a single task and no task sorts more as tables grow.
     """
-    out = None
-    slim = spread(rows.select(*keys, *fields))
-    for name in fields:
-        split = slim.select(*keys, tokens(name).alias("_t")).where(F.size("_t") > 0)
-        each = split.select(*keys, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
-        each = each.withColumns({"field": F.lit(name), "bucket": bucket(F.col("term"))})
-        out = each if out is None else out.unionByName(each)
-    parts = max(1, min(64, count // BUCKET_ROWS))
-    placed = out.repartition("field", "bucket", F.pmod(F.xxhash64(*keys), F.lit(parts)))
-    placed.sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(path)
+    for name, total in words.items():
+        tasks = max(1, -(-total // TASK_WORDS))
+        parts = -(-tasks // BUCKETS)
+        marked = F.transform(tokens(name), lambda w: F.concat(F.char(bucket(w) + MARK), w))  # sorted by bucket, then word
+        split = spread(rows.select(*keys, name)).select(*keys, F.explode(F.array(F.sort_array(marked))).alias("_t")).where(F.size("_t") > 0)
+        spans = split.select(*keys, F.size("_t").alias("len"), "_t", F.inline(runs("_t", F.ascii)).alias("_first", "_last"))
+        line = F.array_join(F.slice("_t", F.col("_first") + 1, F.col("_last") - F.col("_first") + 1), " ")
+        lines = spans.select(*keys, "len", (F.ascii(F.get("_t", F.col("_first"))) - MARK).alias("bucket"), line.alias("line"))
+        place = F.col("bucket") * parts + F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        placed = lines.repartitionById(min(tasks, BUCKETS) * parts, F.pmod(place, F.lit(min(tasks, BUCKETS) * parts)))
+        each = counted(placed.select(*keys, "len", "bucket", F.explode(F.array(F.split("line", " "))).alias("_t")), "_t", *keys, "len", "bucket")
+        out = each.select(F.expr("substring(term, 2)").alias("term"), *keys, F.col("tf").cast("int").alias("tf"), "len", "bucket")
+        out.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/field={name}")
 
 
 def read(spark: SparkSession, folders: list[str], field: str, terms: list[str] | None, keys: T.StructType) -> DataFrame:

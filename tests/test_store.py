@@ -323,3 +323,34 @@ def test_client_checks_roles_and_keeps_a_trail(spark, tmp_path):
     assert d.for_tenant("t1").deletion_report("c", [1])["overall"] == "deleted everywhere"
     assert Client(cat, keys, "a", trail).erase_tenant("c", "t1")["count"] == 1
     assert sorted((x["what"], x["count"]) for x in trail.read().collect()) == [("delete", 1), ("erase_tenant", 1)]
+
+
+def test_one_write_becomes_the_base_as_it_is(spark, texts):
+    texts.upsert_frame(spark.createDataFrame([(i, "red blue red" if i % 2 else "blue") for i in range(20)], "id long, t string").selectExpr("id", "t", "cast(null as array<float>) v", "'x' kind"))
+    delta, terms = texts.manifest().deltas, texts.manifest().terms
+    texts.compact(force=True)
+    assert texts.manifest().bases == delta and texts.manifest().terms == terms and not texts.manifest().deltas  # nothing is written twice
+    assert [x["_id"] for x in texts.search({"text": {"field": "t", "query": "red"}, "k": 3}).collect()] == [1, 3, 5]
+    texts.upsert([{"id": 1, "t": "blue"}])
+    texts.compact(force=True)
+    assert texts.manifest().bases != delta and [x["_id"] for x in texts.search({"text": {"field": "t", "query": "red"}, "k": 3}).collect()] == [3, 5, 7]
+
+
+def test_an_id_twice_in_one_write_is_ranked(texts):
+    texts.upsert([{"id": 1, "t": "red"}, {"id": 1, "t": "blue"}, {"id": 2, "t": "blue"}])
+    texts.compact(force=True)
+    assert texts.search({"text": {"field": "t", "query": "red"}}).count() == 0 and texts.snapshot().count() == 2
+
+
+def test_postings_of_many_small_tasks(spark, texts, monkeypatch):
+    from mosswing.operators import textindex
+    from mosswing.store import META
+
+    r = random.Random(3)
+    known = {i: [r.choice("él red ωβ ½ a b c d e f g h".split()) for _ in range(r.randrange(0, 30))] for i in range(60)}
+    monkeypatch.setattr(textindex, "TASK_WORDS", 5)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in known.items()], "id long, t string")
+    texts.upsert_frame(df.selectExpr("id", "t", "cast(null as array<float>) v", "'x' kind"))
+    m = texts.manifest()
+    found = textindex.read(spark, [f"{texts.root}/{f}" for f in m.terms.values()], "t", None, META).collect()
+    assert sorted((x["_id"], x["term"], x["tf"], x["len"]) for x in found) == sorted((i, t, w.count(t), len(w)) for i, w in known.items() for t in set(w))
