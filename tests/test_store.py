@@ -354,3 +354,14 @@ def test_postings_of_many_small_tasks(spark, texts, monkeypatch):
     m = texts.manifest()
     found = textindex.read(spark, [f"{texts.root}/{f}" for f in m.terms.values()], "t", None, META).collect()
     assert sorted((x["_id"], x["term"], x["tf"], x["len"]) for x in found) == sorted((i, t, w.count(t), len(w)) for i, w in known.items() for t in set(w))
+
+
+def test_lists_keep_the_postings(spark, texts):
+    r = random.Random(4)
+    rows = [(i, "red" if i == 7 else "blue", [r.random(), r.random()] if i % 5 == 0 else None, "x") for i in range(300)]
+    texts.upsert_frame(spark.createDataFrame(rows, "id long, t string, v array<float>, kind string"))
+    terms = list(texts.manifest().terms.values())
+    texts.cluster("v", 4)
+    assert list(texts.manifest().terms.values()) == terms and texts.snapshot().count() == 300  # rows moved, postings name them still
+    texts.vacuum()
+    assert [x["_id"] for x in texts.search({"text": {"field": "t", "query": "red"}}).collect()] == [7]
