@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.distance import distance, doubles, unit
 
 QUERY_BLOCK = 1024
+ROW_BLOCK = 1024
+PAIRS = 50_000
 
 
 def exact_knn(df: DataFrame, id_col: str, vector: str, query: list[float], metric: str, k: int | None, where: Column | None = None, digits: int | None = None) -> DataFrame:
@@ -36,13 +38,29 @@ def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
     return x
 
 
-def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    if metric != "l2":
-        return -q @ x.T
-    out = np.empty((len(q), len(x)))
-    for i in range(len(q)):  # exact differences: the expanded form loses digits to cancellation
-        out[i] = ((x - q[i]) ** 2).sum(1)
-    return out
+def _near(q: np.ndarray, x: np.ndarray, metric: str, k: int, least: np.ndarray, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row, distance of all pairs that may be among the k nearest: of what one product of matrices finds no farther
+    than `least` by query or than the kth in x, with room for its error. Distances are of exact differences for L2."""
+    rough = -(q @ x.T)
+    room = 0.0 if digits is None else 10.0**-digits
+    slack = np.full(len(q), room)
+    if metric == "l2":  # the expanded form loses digits to cancellation
+        ours, theirs = (q**2).sum(1), (x**2).sum(1)
+        rough *= 2
+        rough += ours[:, None]
+        rough += theirs
+        slack += 1e-9 * (ours + theirs.max(initial=0))
+    bound = least + slack
+    if np.isinf(least).any() and len(x) > k:
+        bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack)
+    at, n = np.nonzero(~(rough > bound[:, None]))  # what is no number stays, as the farthest
+    if metric == "l2":
+        d = np.empty(len(at))
+        for a in range(0, len(at), PAIRS):
+            d[a : a + PAIRS] = ((x[n[a : a + PAIRS]] - q[at[a : a + PAIRS]]) ** 2).sum(1)
+    else:
+        d = rough[at, n]
+    return at, n, d if digits is None else np.round(d, digits)
 
 
 def batch_knn(rows: DataFrame, id_col: str, vector: str, queries: DataFrame, metric: str, k: int, digits: int | None = 6) -> DataFrame:
@@ -66,19 +84,20 @@ def batch_knn(rows: DataFrame, id_col: str, vector: str, queries: DataFrame, met
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
-            kept: pd.DataFrame | None = None
+            kept = pd.DataFrame({"at": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            least = np.full(len(q), np.inf)  # what is farther is not among the k nearest
             for pdf in frames:
-                for a in range(0, len(pdf), 4096):
-                    part = pdf.iloc[a : a + 4096]
-                    d = _distances(q, _matrix(part["v"], metric), metric)
-                    d = d if digits is None else np.round(d, digits)
-                    n = part["id"].to_numpy()
-                    top = np.lexsort((np.broadcast_to(n, d.shape), d), axis=1)[:, :k]
-                    new = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": n[top].ravel(), "score": np.take_along_axis(d, top, 1).ravel()})
-                    kept = new if kept is None else pd.concat([kept, new])
-                    kept = kept.sort_values(["query_id", "score", "id"]).groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
+                for a in range(0, len(pdf), ROW_BLOCK):
+                    part = pdf.iloc[a : a + ROW_BLOCK]
+                    at, n, d = _near(q, _matrix(part["v"], metric), metric, k, least, digits)
+                    kept = pd.concat([kept, pd.DataFrame({"at": at, "id": part["id"].to_numpy()[n], "score": d})])
+                    if len(kept) > 4 * k * len(q) or np.isinf(least).any():
+                        kept = kept.sort_values(["at", "score", "id"]).groupby("at").head(k)
+                        full = kept.groupby("at")["score"].agg(["size", "max"])
+                        full = full[full["size"] == k]
+                        least[full.index.to_numpy()] = full["max"].to_numpy()
+            kept = kept.sort_values(["at", "score", "id"]).groupby("at").head(k)
+            yield pd.DataFrame({"query_id": ids[kept["at"].to_numpy()], "id": kept["id"], "score": kept["score"]})
 
         parts.append(base.mapInPandas(run, "query_id long, id long, score double"))
 

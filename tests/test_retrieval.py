@@ -158,3 +158,22 @@ def test_batch_bm25_shuffles_no_pairs(spark, monkeypatch):
         assert [(x["query_id"], x["rank"], x["id"], round(x["score"], 6)) for x in got.orderBy("query_id", "rank").collect()] == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 2  # a block each: queries meet documents only within tasks
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_batch_knn_takes_exact_distances_of_few_pairs(spark, monkeypatch, metric):
+    import numpy as np
+
+    from mosswing.operators import knn as module
+
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(300, 3)) * 3) + (1e4 if metric == "l2" else 0)  # far from the origin, with many ties
+    monkeypatch.setattr(module, "ROW_BLOCK", 32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    queries = df.where("id % 50 = 1").selectExpr("id query_id", "v vector")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+    d = np.round(((x[:, None] - x) ** 2).sum(2) if metric == "l2" else -(unit @ unit.T), 6)
+    want = [(q, n + 1, int(i), d[q, i]) for q in range(1, 300, 50) for n, i in enumerate(np.lexsort((np.arange(300), d[q]))[:7])]
+    assert [(a["query_id"], a["rank"], a["id"], a["score"]) for a in batch_knn(df, "id", "v", queries, metric, 7).orderBy("query_id", "rank").collect()] == want
+    at, _, _ = module._near(x[:1], x, metric, 7, np.full(1, np.inf), 6)
+    assert len(at) < 150  # not a distance and a place in an order for each pair
